@@ -1,4 +1,4 @@
-from tidepanel.catalog import feature_queries  # noqa: F401
+from tidepanel.catalog import feature_queries, trading_queries  # noqa: F401
 from tidepanel.catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -19,12 +19,20 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+def _split(c: str, digits: int) -> tuple[str, int]:
+    """A column may name its own digits: ``sma_200:8``."""
+    name, _, own = c.partition(":")
+    return name, int(own) if own else digits
+
+
 def _rounded(c: str, digits: int) -> Column:
+    c, digits = _split(c, digits)
     r = F.round(F.col(c).cast("double"), digits)
     return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(c)
 
 
 def _rounded_sql(c: str, digits: int) -> str:
+    c, digits = _split(c, digits)
     r = f"round(cast({c} as double), {digits})"
     return f"case when {r} = 0 then cast(0 as double) else {r} end as {c}"
 

@@ -233,9 +233,13 @@ def names(pattern: str, values) -> str:
     return " ".join(pattern.format(x) for x in values)
 
 
+# means of 200 prices with four decimals end in ...5 at the seventh, so they are compared finer
+SMAS = names("sma_{}", SMA).replace("sma_200", "sma_200:8")
+
+
 BANDS = "bb_middle bb_upper bb_lower bb_bandwidth bb_pct_b"
 EWMS = "ema_12 ema_26 ema_50 rsi atr atr_pct macd_line macd_signal macd_histogram"
-feat("sma", "C1", indicators.sma, names("sma_{}", SMA))
+feat("sma", "C1", indicators.sma, SMAS)
 feat("ema", "C2", indicators.ema, "ema_12 ema_26 ema_50", view="ewm")
 feat("rsi", "C3", indicators.rsi, "rsi", view="ewm")
 feat("macd", "C4", indicators.macd, "macd_line macd_signal macd_histogram", view="ewm")
@@ -243,7 +247,7 @@ feat("bollinger", "C5", indicators.bollinger, BANDS)
 feat("atr", "C6", indicators.atr, "atr atr_pct", view="ewm")
 feat("price_zscore", "C7", indicators.price_zscore, names("zscore_{}", SMA))
 feat("close_to_sma", "C8", indicators.close_to_sma, names("close_to_sma_{}", SMA))
-TECH = f"{names('sma_{0} zscore_{0} close_to_sma_{0}', SMA)} {BANDS} {EWMS}"
+TECH = f"{SMAS} {names('zscore_{0} close_to_sma_{0}', SMA)} {BANDS} {EWMS}"
 _TECH_SQL = "select f.*, e.* exclude (ticker, dt, rn, close) from feats f join ewm e using (ticker, dt)"
 add("technical_all", "C9", on_bars(indicators.technical_all), (with_("feats", "ewm"), _TECH_SQL), doubles=TECH)
 add(
@@ -367,7 +371,7 @@ def _feature_columns(b: DataFrame) -> DataFrame:
     return df.select("ticker", "dt", *assemble.feature_columns(df))
 
 
-feat("feature_columns", "F13", _feature_columns, names("sma_{}", SMA))
+feat("feature_columns", "F13", _feature_columns, SMAS)
 _IMPUTED = "sma_200 realized_vol_63d zscore_20 log_ret_5d"
 
 
@@ -404,7 +408,7 @@ ALL_DOUBLES = (
     "dow_sin dow_cos target_fwd_return target_direction relative_strength_portfolio corr_with_portfolio_20d"
 )
 ALL_INTS = f"{REGIME_FLAGS} day_of_week month quarter"
-_ALL = [*ALL_DOUBLES.split(), *ALL_INTS.split()]
+_ALL = [*ALL_DOUBLES.replace(":8", "").split(), *ALL_INTS.split()]
 ALL_SQL = (
     with_("crossf", "ewm", "macrow"),
     f"""

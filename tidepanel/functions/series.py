@@ -52,6 +52,10 @@ class Series:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(self.order)
 
+    def over(self) -> str:
+        """The window as SQL text, for expressions given as strings."""
+        return f"(partition by {', '.join(f'`{k}`' for k in self.keys)} order by `{self.order}`)"
+
     def upto(self) -> WindowSpec:
         return self.window().rowsBetween(Window.unboundedPreceding, 0)
 
@@ -121,7 +125,8 @@ def windowed(back, ahead=0):
         signature = inspect.signature(fn)
 
         @functools.wraps(fn)
-        def run(df: DataFrame, *args, s: Series = DAILY, **kwargs) -> DataFrame:
+        def run(df: DataFrame, *args, s: Series | None = None, **kwargs) -> DataFrame:
+            s = s or signature.parameters["s"].default
             rows = s.block_rows(df)
             if not rows:
                 return fn(df, *args, s=s, **kwargs)
@@ -138,104 +143,196 @@ def windowed(back, ahead=0):
 
 # ---------------------------------------------------------------------------------------------
 # bounded frames with a minimum number of observations
+#
+# A frame of k rows is put together from equal shorter frames by lags (200 rows from four of 50,
+# 50 from five of 10, ...), merging counts, means and central moments.  That is a handful of
+# lags per row where a sliding frame would visit every row of the frame again, and it has none of
+# the cancellation of differences of prefix sums.
+
+MAX_PARTS = 8
+
+
+def _child(k: int, wanted: set[int]) -> int:
+    """Size of the equal frames that make up a frame of k rows; 0 if there is no good split."""
+    if k <= MAX_PARTS:
+        return 1
+    sizes = [d for d in range(2, k) if k % d == 0 and k // d <= MAX_PARTS]
+    ready = [d for d in sizes if d in wanted]
+    return min(ready or sizes, default=0)
+
+
+class _Frames:
+    """Collects the lags and merges for a set of frames and runs them level by level."""
+
+    def __init__(self, df: DataFrame, s: Series):
+        self.df, self.s = df, s
+        self.levels: dict[int, tuple[dict[str, str], list[dict[str, str]]]] = {}
+        self.depth: dict[str, int] = {}
+        self.wanted: dict[tuple, set[int]] = {}
+
+    def _lagged(self, level: int, col: str, off: int) -> str:
+        if off == 0:
+            return col
+        name = f"{col}__{off}"
+        self.levels.setdefault(level, ({}, []))[0][name] = f"lag({col}, {off}) over {self.s.over()}"
+        return name
+
+    def _put(self, level: int, layers: list[dict[str, str]]) -> None:
+        lanes = self.levels.setdefault(level, ({}, []))[1]
+        for i, layer in enumerate(layers):
+            while len(lanes) <= i:
+                lanes.append({})
+            lanes[i].update(layer)
+
+    def moments(self, col: str, k: int, order: int, partial: bool) -> str:
+        """Node with the mean and the 2nd and 3rd central sums of k rows.
+
+        A complete node is NULL unless all k values are known; a partial one counts them.
+        """
+        tag = f"_{'p' if partial else 'c'}_{col}_{k}"
+        if self.depth.get(tag, 0) and self.order_of[tag] >= order:
+            return tag
+        h = _child(k, self.wanted[(col, partial)])
+        if h > 1:
+            child = self.moments(col, h, order, partial)
+            level = self.depth[child] + 1
+            m, q, c, n = f"{child}_m", f"{child}_q", f"{child}_t", f"{child}_n"
+        else:
+            level, m, q, c, n, h = 1, col, None, None, None, 1
+        parts = [i * h for i in range(k // h)]
+        means = [self._lagged(level, m, o) for o in parts]
+        out = f"{tag}_m"
+        if partial:
+            counts = (
+                [f"coalesce({self._lagged(level, n, o)}, 0)" for o in parts]
+                if n
+                else [f"cast({x} is not null as int)" for x in means]
+            )
+            weighted = [f"coalesce({x} * {c_}, 0.0d)" for x, c_ in zip(means, counts)]
+            layers = [{f"{tag}_n": " + ".join(counts)}]
+            layers.append({out: f"case when {tag}_n > 0 then ({' + '.join(weighted)}) / {tag}_n end"})
+        else:
+            counts = [str(h)] * len(parts)
+            layers = [{out: f"({' + '.join(means)}) / {len(parts)}.0d"}]
+        if order >= 2:
+            squares = [self._lagged(level, q, o) for o in parts] if q else []
+            terms = [f"{w} * ({x} - {out}) * ({x} - {out})" for x, w in zip(means, counts)] + squares
+            layers.append({f"{tag}_q": " + ".join(f"coalesce({x}, 0.0d)" for x in terms) if partial else " + ".join(terms)})
+        if order >= 3:
+            cubes = [self._lagged(level, c, o) for o in parts] if c else []
+            mixed = [f"3.0d * ({x} - {out}) * {sq}" for x, sq in zip(means, squares)] if q else []
+            terms = [f"{w} * ({x} - {out}) * ({x} - {out}) * ({x} - {out})" for x, w in zip(means, counts)]
+            layers.append({f"{tag}_t": " + ".join(terms + mixed + cubes)})
+        self._put(level, layers)
+        self.depth[tag] = level
+        self.order_of[tag] = order
+        return tag
+
+    order_of: dict[str, int] = {}
+
+    def folded(self, col: str, k: int, kind: str) -> str:
+        """Node with the greatest, least, summed or multiplied known value of k rows."""
+        tag = f"_{kind}_{col}_{k}"
+        if tag in self.depth:
+            return tag
+        h = _child(k, set())
+        child, level = (col, 1) if h <= 1 else (self.folded(col, h, kind), 0)
+        level = level or self.depth[child] + 1
+        parts = [self._lagged(level, child, i * max(h, 1)) for i in range(k // max(h, 1))]
+        neutral = {"sum": "0.0d", "prod": "1.0d"}.get(kind)
+        if kind in ("max", "min"):
+            text = f"{'greatest' if kind == 'max' else 'least'}({', '.join(parts)})" if len(parts) > 1 else parts[0]
+        else:
+            text = (" + " if kind == "sum" else " * ").join(f"coalesce({p}, {neutral})" for p in parts)
+        self._put(level, [{tag: text}])
+        self.depth[tag] = level
+        return tag
 
-
-def _inner_size(rows: int) -> int:
-    """Length of the short frames a long frame is assembled from, or 0 to use one frame."""
-    if rows < 100:
-        return 0
-    sizes = [d for d in range(8, 33) if rows % d == 0]
-    return min(sizes, key=lambda d: d + rows // d) if sizes else 0
+    def run(self) -> DataFrame:
+        df = self.df
+        for level in sorted(self.levels):
+            lags, layers = self.levels[level]
+            if lags:
+                df = df.selectExpr("*", *[f"{e} as {n}" for n, e in lags.items()])
+            for layer in layers:
+                df = df.selectExpr("*", *[f"{e} as {n}" for n, e in layer.items()])
+        return df
 
 
-_RAW = {
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "var": F.var_samp,
-    "sum": F.sum,
-    "max": F.max,
-    "min": F.min,
-    "skew": F.skewness,
-    "prod": F.product,
-}
+_FRAME_FNS = {"corr": "corr", "cov": "covar_samp"}
 
 
 def rolling(df: DataFrame, s: Series, specs: dict[str, tuple]) -> DataFrame:
     """Add rolling statistics: ``{out: (kind, column, rows, min_rows)}``.
 
-    Spark frames emit from the first row; here a value appears once ``min_rows`` non-null values
-    lie in the frame.  The counts come from one running count, so they cost O(1) per row, and
-    frames of 100 rows and more are put together from short ones.
+    kind: mean, std, var, skew (adjusted), sum, prod, max, min, or corr and cov of two columns.
+    A value appears once ``min_rows`` non-null values lie in the frame.
     """
-    w = s.window()
+    original = df.columns
+    frames = _Frames(df, s)
+    frames.order_of = {}
+    counted: dict[str, str] = {}
+    singles = [(k, c, n, p) for k, c, n, p in specs.values() if not isinstance(c, tuple)]
+    for kind, c, rows, least in singles:
+        if kind in ("mean", "std", "var", "skew"):
+            frames.wanted.setdefault((c, least < rows), set()).add(rows)
+    # higher moments first, so that a shared node carries all that is asked of it
+    ordered = sorted(singles, key=lambda x: -{"skew": 3, "std": 2, "var": 2}.get(x[0], 1))
+    shorter = sorted(ordered, key=lambda x: (-{"skew": 3, "std": 2, "var": 2}.get(x[0], 1), x[2]))
+    nodes: dict[tuple, str] = {}
+    for kind, c, rows, least in shorter:
+        if kind in ("mean", "std", "var", "skew"):
+            order = {"mean": 1, "skew": 3}.get(kind, 2)
+            nodes[(c, rows, least < rows)] = frames.moments(c, rows, order, least < rows)
+        else:
+            nodes[(c, rows, kind)] = frames.folded(c, rows, kind)
+            counted[c] = c
+    upto = f"{s.over()[:-1]} rows between unbounded preceding and current row)"
     pairs = {c for _, c, _, _ in specs.values() if isinstance(c, tuple)}
-    singles = {c for _, c, _, _ in specs.values() if not isinstance(c, tuple)}
-    name = {c: c for c in singles} | {c: "_pair_" + "_".join(c) for c in pairs}
-    if pairs:
-        df = df.withColumns(
-            {name[c]: F.when(F.col(c[0]).isNotNull() & F.col(c[1]).isNotNull(), 1) for c in pairs}
-        )
-    df = df.withColumns({f"_n_{name[c]}": F.count(name[c]).over(s.upto()) for c in singles | pairs})
-
-    stage: dict[str, Column] = {}
-    wide: dict[str, tuple] = {}
-    raw_of: dict[str, str] = {}
-    for out, (kind, c, rows, least) in specs.items():
-        tag = name[c]
-        counted = f"_c_{tag}_{rows}"
-        stage[counted] = F.col(f"_n_{tag}") - F.lag(f"_n_{tag}", rows, 0).over(w)
-        inner = _inner_size(rows)
-        raw = f"_r_{kind}_{tag}_{rows}"
-        raw_of[out] = raw
-        if inner and (kind in ("mean", "sum", "max", "min") or (kind == "std" and least == rows)):
-            frame = s.last(inner)
-            for part in ("mean", "var") if kind == "std" else ("sum",) if kind == "mean" else (kind,):
-                stage[f"_p_{part}_{tag}_{inner}"] = _RAW[part](c).over(frame)
-            wide[raw] = (kind, tag, rows, inner)
-        elif kind == "corr":
-            stage[raw] = F.corr(*c).over(s.last(rows))
-        elif kind == "cov":
-            stage[raw] = F.covar_samp(*c).over(s.last(rows))
+    before: list[str] = []
+    for a, b in pairs:
+        both = f"_pair_{a}_{b}"
+        before.append(f"case when {a} is not null and {b} is not null then 1 end as {both}")
+        counted[both] = both
+    if before:
+        frames.df = frames.df.selectExpr("*", *before)
+    if counted:
+        frames.df = frames.df.selectExpr("*", *[f"count({c}) over {upto} as _k_{c}" for c in counted])
+    out = frames.run()
+
+    late: dict[str, str] = {}
+    final: dict[str, str] = {}
+    for name, (kind, c, rows, least) in specs.items():
+        if kind in ("mean", "std", "var", "skew"):
+            tag = nodes[(c, rows, least < rows)]
+            n = f"{tag}_n" if least < rows else f"{rows}"
+            if kind == "mean":
+                value = f"{tag}_m"
+            elif kind == "skew":
+                # a frame without spread has no skewness
+                value = (
+                    f"case when {tag}_q > 0 then sqrt({n} * 1.0d) * {tag}_t / power({tag}_q, 1.5d)"
+                    f" * sqrt({n} * ({n} - 1.0d)) / ({n} - 2.0d) end"
+                )
+            else:
+                value = f"case when {n} > 1 then {tag}_q / ({n} - 1.0d) end"
+                value = f"sqrt({value})" if kind == "std" else value
+            final[name] = f"case when {n} >= {least} then {value} end" if least < rows else value
+            continue
+        if isinstance(c, tuple):
+            a, b = c
+            key = f"_pair_{a}_{b}"
+            raw = f"_{kind}_{a}_{b}_{rows}"
+            frame = f"{s.over()[:-1]} rows between {rows - 1} preceding and current row)"
+            late[raw] = f"{_FRAME_FNS[kind]}({a}, {b}) over {frame}"
         else:
-            stage[raw] = _RAW[kind](c).over(s.last(rows))
-    df = df.withColumns(stage)
-
-    if wide:
-        shifted: dict[str, Column] = {}
-        for kind, tag, rows, inner in wide.values():
-            for part in ("mean", "var") if kind == "std" else ("sum",) if kind == "mean" else (kind,):
-                for i in range(rows // inner):
-                    p = f"_p_{part}_{tag}_{inner}"
-                    shifted[f"{p}_{i}"] = F.lag(p, i * inner).over(w) if i else F.col(p)
-        df = df.withColumns(shifted)
-        df = df.withColumns({raw: _assemble(*spec) for raw, spec in wide.items()})
-
-    keep = [c for c in df.columns if not c.startswith(("_n_", "_c_", "_r_", "_p_", "_pair_")) and c not in specs]
-    outs = []
-    for out, (kind, c, rows, least) in specs.items():
-        value = F.col(raw_of[out])
-        if kind == "skew":
-            n = F.col(f"_c_{name[c]}_{rows}")
-            value = value * F.sqrt(n * (n - 1)) / (n - 2)
-        outs.append(F.when(F.col(f"_c_{name[c]}_{rows}") >= least, value).alias(out))
-    return df.select(*keep, *outs)
-
-
-def _assemble(kind: str, tag: str, rows: int, inner: int) -> Column:
-    parts = range(rows // inner)
-
-    def col(part: str, i: int) -> Column:
-        return F.col(f"_p_{part}_{tag}_{inner}_{i}")
-
-    if kind in ("max", "min"):
-        return (F.greatest if kind == "max" else F.least)(*[col(kind, i) for i in parts])
-    if kind == "std":
-        mean = sum((col("mean", i) for i in parts), F.lit(0.0)) / len(parts)
-        within = sum((col("var", i) * (inner - 1) for i in parts), F.lit(0.0))
-        between = sum(((col("mean", i) - mean) * (col("mean", i) - mean) for i in parts), F.lit(0.0)) * inner
-        return F.sqrt((within + between) / (rows - 1))
-    total = sum((F.coalesce(col("sum", i), F.lit(0.0)) for i in parts), F.lit(0.0))
-    return total / F.col(f"_c_{tag}_{rows}") if kind == "mean" else total
+            key, raw = c, nodes[(c, rows, kind)]
+        late[f"_k_{key}_{rows}"] = f"_k_{key} - lag(_k_{key}, {rows}, 0L) over {s.over()}"
+        final[name] = f"case when _k_{key}_{rows} >= {least} then {raw} end"
+    if late:
+        out = out.selectExpr("*", *[f"{e} as {n}" for n, e in late.items()])
+    keep = [f"`{c}`" for c in original if c not in specs]
+    return out.selectExpr(*keep, *[f"{e} as {n}" for n, e in final.items()])
 
 
 # ---------------------------------------------------------------------------------------------
@@ -254,38 +351,40 @@ def span_decay(span: float) -> float:
 CHUNK = 512
 
 
+def _lit(x: float) -> str:
+    return f"{x!r}d"
+
+
 def decayed_sums(df: DataFrame, s: Series, terms: dict[str, tuple[str, float]]) -> DataFrame:
     """Add ``out_t = sum over i <= t of u_i * q**(t-i)`` for ``{out: (u, q)}``, NULL u as 0.
 
     A weighted prefix sum inside chunks of CHUNK rows plus the totals of the few preceding chunks
     that still matter in double precision; all terms share one sort.
     """
-    w_order = s.window()
-    df = df.withColumn("_pos", F.row_number().over(w_order) - 1)
-    df = df.withColumns({"_chunk": F.expr(f"_pos div {CHUNK}"), "_pos": F.col("_pos") % CHUNK})
-    df = df.withColumns(
-        {f"_u_{o}": F.coalesce(F.col(u), F.lit(0.0)) * F.pow(F.lit(q), -F.col("_pos")) for o, (u, q) in terms.items()}
+    original = [c for c in df.columns if c not in terms]
+    keys = ", ".join(f"`{k}`" for k in s.keys)
+    df = df.selectExpr("*", f"row_number() over {s.over()} - 1 as _at")
+    df = df.selectExpr("*", f"_at div {CHUNK} as _chunk", f"_at % {CHUNK} as _pos")
+    df = df.selectExpr(
+        "*", *[f"coalesce({u}, 0.0d) * power({_lit(q)}, -_pos) as _u_{o}" for o, (u, q) in terms.items()]
     )
-    local = Window.partitionBy(*s.keys, "_chunk").orderBy(s.order).rowsBetween(Window.unboundedPreceding, 0)
-    by_chunk = Window.partitionBy(*s.keys).orderBy("_chunk")
-    cols: dict[str, Column] = {}
+    local = f"(partition by {keys}, _chunk order by `{s.order}` rows between unbounded preceding and current row)"
+    df = df.selectExpr("*", *[f"sum(_u_{o}) over {local} as _l_{o}" for o in terms])
     reach = {o: max(1, math.ceil(decay_rows(q) / CHUNK)) for o, (_, q) in terms.items()}
-    for o in terms:
-        cols[f"_l_{o}"] = F.sum(f"_u_{o}").over(local)
-    df = df.withColumns(cols)
-    carries = {
-        f"_k_{o}_{k}": F.sum(f"_u_{o}").over(by_chunk.rangeBetween(-k, -k)) for o in terms for k in range(1, reach[o] + 1)
-    }
-    df = df.withColumns(carries)
+    df = df.selectExpr(
+        "*",
+        *[
+            f"sum(_u_{o}) over (partition by {keys} order by _chunk range between {k} preceding and {k} preceding)"
+            f" as _k_{o}_{k}"
+            for o in terms
+            for k in range(1, reach[o] + 1)
+        ],
+    )
     outs = []
     for o, (_, q) in terms.items():
-        total = F.col(f"_l_{o}")
-        for k in range(1, reach[o] + 1):
-            total = total + F.coalesce(F.col(f"_k_{o}_{k}"), F.lit(0.0)) * (q ** (CHUNK * k))
-        outs.append((total * F.pow(F.lit(q), F.col("_pos"))).alias(o))
-    temps = ("_u_", "_l_", "_k_", "_pos", "_chunk")
-    keep = [c for c in df.columns if not c.startswith(temps) and c not in terms]
-    return df.select(*keep, *outs)
+        carries = [f"coalesce(_k_{o}_{k}, 0.0d) * {_lit(q ** (CHUNK * k))}" for k in range(1, reach[o] + 1)]
+        outs.append(f"({' + '.join([f'_l_{o}', *carries])}) * power({_lit(q)}, _pos) as {o}")
+    return df.selectExpr(*[f"`{c}`" for c in original], *outs)
 
 
 def ewm_means(df: DataFrame, s: Series, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
@@ -294,19 +393,19 @@ def ewm_means(df: DataFrame, s: Series, specs: dict[str, tuple[str, float, int]]
     ``{out: (x, q, min_rows)}``.  x may be NULL at the start of a series; later gaps are expected
     to be filled beforehand.
     """
-    df = df.withColumns({f"_cnt_{o}": F.count(x).over(s.upto()) for o, (x, _, _) in specs.items()})
-    df = df.withColumns(
-        {
-            f"_x_{o}": F.when(F.col(f"_cnt_{o}") == 1, F.col(x)).otherwise(F.col(x) * (1.0 - q))
-            for o, (x, q, _) in specs.items()
-        }
+    original = [c for c in df.columns if c not in specs]
+    upto = f"{s.over()[:-1]} rows between unbounded preceding and current row)"
+    inputs = {x for x, _, _ in specs.values()}
+    df = df.selectExpr("*", *[f"count({x}) over {upto} as _cnt_{x}" for x in inputs])
+    df = df.selectExpr(
+        "*",
+        *[f"case when _cnt_{x} = 1 then {x} else {x} * {_lit(1.0 - q)} end as _x_{o}" for o, (x, q, _) in specs.items()],
     )
     df = decayed_sums(df, s, {f"_y_{o}": (f"_x_{o}", q) for o, (_, q, _) in specs.items()})
-    outs = [
-        F.when(F.col(f"_cnt_{o}") >= least, F.col(f"_y_{o}")).alias(o) for o, (_, _, least) in specs.items()
-    ]
-    keep = [c for c in df.columns if not c.startswith(("_cnt_", "_x_", "_y_")) and c not in specs]
-    return df.select(*keep, *outs)
+    return df.selectExpr(
+        *[f"`{c}`" for c in original],
+        *[f"case when _cnt_{x} >= {least} then _y_{o} end as {o}" for o, (x, _, least) in specs.items()],
+    )
 
 
 # ---------------------------------------------------------------------------------------------

@@ -18,6 +18,11 @@ def local_session(name: str, cores: int | str | None = None, memory: str = "12g"
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # projections of many features: methods the JIT compiles instead of one huge interpreted one
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # no call-site capture per column expression: wide plans build several times faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
