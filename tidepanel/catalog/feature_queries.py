@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from tidepanel.catalog import views as v
 from tidepanel.catalog.base import add
 from tidepanel.catalog.oracle import EPS, MACRO_FEATURES, flag, lag, roll, with_
 from tidepanel.functions.series import DAILY, Series
+from tidepanel.functions.tables import new_path
 from tidepanel.operators import assemble, clean, ic, indicators, macro, regime, returns
 from tidepanel.sources import bars as src
 
@@ -19,16 +18,6 @@ SMA, VOLS = indicators.SMA_WINDOWS, returns.VOL_WINDOWS
 BLOCKS = Series(block=1024)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a written table: the shared folder of the cluster where one is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-") + "/table"
-
-
 def on_bars(fn):
     return lambda spark, d: fn(v.bars(spark, d))
 
@@ -37,7 +26,7 @@ def on_bars(fn):
 
 
 def _round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "bars")
+    path = new_path(spark, "bars")
     src.write_bars(v.bars(spark, d), path)
     return src.read_bars(spark, path, tickers=["1-URGENT", "5-LOW", "ABSENT"], missing="skip")
 
@@ -82,7 +71,7 @@ add(
 
 def _features_read_back(spark: SparkSession, d: str) -> DataFrame:
     df = returns.returns_all(indicators.sma(v.bars(spark, d)))
-    path = scratch(spark, "features")
+    path = new_path(spark, "features")
     src.write_bars(assemble.impute_terminal(df), path, per_ticker=False)
     return src.read_bars(spark, path, schema=None)
 
@@ -151,7 +140,7 @@ add(
 
 
 def _csv(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "report")
+    path = new_path(spark, "report")
     src.write_report_csv(v.bars(spark, d).groupBy("ticker").agg(F.max("close").alias("top"), F.count("dt").alias("n")), path)
     return spark.read.csv(path, header=True, schema="ticker string, top double, n long")
 

@@ -350,7 +350,7 @@ cte(
     "parity",
     ["risk"],
     f"""
-select r.*, r.position * (1 / (r.v + {EPS})) / t.total as weight
+select r.* exclude (vol, v), r.position * (1 / (r.v + {EPS})) / t.total as weight
 from (select *, coalesce(vol, 0.2) as v from (select *, {roll('stddev_samp', 'asset_ret', 60, 20, _P)} * {ANN} as vol from risk) a) r
 join (select strategy, dt, sum(1 / (coalesce(f, 0.2) + {EPS})) as total
       from (select strategy, dt, last_value(vol ignore nulls) over (partition by strategy, ticker order by dt rows between unbounded preceding and current row) as f
@@ -485,8 +485,8 @@ from (select *, case when total_return > -1 then pow(1 + total_return, 1 / great
   from (select {k}, min(dt) as start_date, max(dt) as end_date, product(1 + ret) - 1 as total_return, count(*) as n,
       avg(ret) as mean, stddev_samp(ret) as std, count(case when ret < {RF} then 1 end) as nd,
       stddev_samp(case when ret < {RF} then ret - {RF} end) as dstd, min(dd) as dd,
-      max(rn - coalesce(at, 0)) as dur
-    from (select *, max(case when not dd < 0 then rn end) over {frame(None, k)} as at
+      max(rn - coalesce(ref, 0)) as dur
+    from (select *, max(case when not dd < 0 then rn end) over {frame(None, k)} as ref
       from (select *, growth / max(growth) over {frame(None, k)} - 1 as dd
         from (select *, product(1 + ret) over {frame(None, k)} as growth, row_number() over (partition by {k} order by dt) as rn
           from (select * from ({src}) r0 where ret is not null) r1) r2) r3) r4 group by {k}) r5) r6

@@ -23,6 +23,7 @@ from tidepanel.catalog.oracle import (
     with_,
 )
 from tidepanel.functions.series import DAILY, Series
+from tidepanel.functions.tables import materialise
 from tidepanel.operators import (
     allocate,
     assemble,
@@ -332,7 +333,7 @@ STRATEGIES = {"momentum": momentum, "reversion": reversion, "model": model_signa
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     df = indicators.rsi(pnl.asset_returns(scored(v.bars(spark, d))))
-    return pf.strategy_panel(df, {**STRATEGIES, pf.BENCHMARK: pf.hold})
+    return materialise(pf.strategy_panel(df, {**STRATEGIES, pf.BENCHMARK: pf.hold}), "panel")
 
 
 add(
@@ -377,7 +378,7 @@ add(
 )
 add(
     "clip_position", "K5", lambda s, d: risk.clip_position(risk.vol_target(risky(s, d), s=pf.PANEL)),
-    (with_("risk1"), f"select *, least(greatest(p1, -1), 1) as position from risk1 {_RULED}"), keys=KEYED, doubles="position",
+    (with_("risk1"), f"select *, case when p1 is not null then least(greatest(p1, -1), 1) end as position from risk1 {_RULED}"), keys=KEYED, doubles="position",
 )
 add(
     "apply_risk", "K6", lambda s, d: risk.apply_risk(risky(s, d), s=pf.PANEL),
@@ -388,11 +389,11 @@ add(
 
 
 def ruled(spark: SparkSession, d: str) -> DataFrame:
-    return risk.apply_risk(risky(spark, d), s=pf.PANEL)
+    return materialise(risk.apply_risk(risky(spark, d), s=pf.PANEL), "risk")
 
 
 def weights(spark: SparkSession, d: str) -> DataFrame:
-    return pf.allocated(panel(spark, d))
+    return materialise(pf.allocated(panel(spark, d)), "weights")
 
 
 add(
@@ -416,7 +417,8 @@ select r.*, coalesce(1 / cast(k as double), 0) as weight from risk r left join (
 
 
 def portfolio(spark: SparkSession, d: str, impact: bool = True) -> DataFrame:
-    return pnl.portfolio_returns(pf.executed(weights(spark, d), impact=impact), ("strategy",))
+    w = weights(spark, d)
+    return materialise(pnl.portfolio_returns(pf.executed(w, impact=impact), ("strategy",), universe=w), "portfolio")
 
 
 _CVAR = "select strategy, {agg} from (select *, quantile_cont(ret, 0.05) over (partition by strategy) as cut from pf_flat) x group by strategy"
@@ -456,7 +458,7 @@ add(
 
 def _neutral(spark: SparkSession, d: str) -> DataFrame:
     w = weights(spark, d).filter(F.col("strategy") != pf.BENCHMARK)
-    plain = pnl.portfolio_returns(pf.executed(w), ("strategy",))
+    plain = pnl.portfolio_returns(pf.executed(w), ("strategy",), universe=w)
     return pf.hedged(plain, w, pnl.asset_returns(v.bars(spark, d)), market(spark, d))
 
 
@@ -506,7 +508,7 @@ add(
     (with_("base"), f"""
 select *, 0.15 * vol * close as spread from (select *, avg(close * volume) over {frame(20)} as adv,
   greatest(coalesce(stddev_samp(log_ret_1d) over {frame(20)} * {ANN}, 0.2), 0.01) as vol from base) x"""),
-    doubles="adv:2 vol spread",
+    doubles="adv vol spread",
 )
 
 
@@ -650,7 +652,7 @@ add(
 
 
 def _relative(spark: SparkSession, d: str) -> DataFrame:
-    reports = metrics.performance_report(portfolio(spark, d, False), pf.PORTFOLIO, positions=False)
+    reports = materialise(metrics.performance_report(portfolio(spark, d, False), pf.PORTFOLIO, positions=False), "reports")
     base = F.col("strategy") == pf.BENCHMARK
     return pnl.relative_to_benchmark(reports.filter(~base), reports.filter(base))
 

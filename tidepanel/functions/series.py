@@ -31,9 +31,6 @@ TRADING_DAYS = 252
 BLOCK_ROWS = 65_536
 DAY_SLOT = 366
 SECOND_SLOT = 86_400
-# doubling steps that cover a DATE-keyed series: 2**16 days are 179 years
-CALENDAR_STEPS = 16
-
 
 @dataclass(frozen=True)
 class Series:
@@ -470,73 +467,71 @@ def running(df: DataFrame, s: Series, specs: dict[str, tuple[str, Column]], reve
 
 # ---------------------------------------------------------------------------------------------
 # three-state machines
+#
+# A row's transition is a string of three digits: the next state (0 short, 1 flat, 2 long) from
+# each state.  translate() applies one transition after another, and that is associative.
 
-
-IDENTITY = 0 + 3 * 1 + 9 * 2
+IDENTITY = "012"
 SCAN_BLOCK = 4096
-SCAN_STEPS = 12
+# four-fold distances: 4**8 rows cover a DATE-keyed series of 179 years, 4**6 rows a block
+CALENDAR_STEPS = 8
+BLOCK_STEPS = 6
 
 
 def transition(from_short: Column, from_flat: Column, from_long: Column) -> Column:
-    """One row's transition of a {-1, 0, 1} machine as a base-3 number."""
-    return (from_short + 1) + (from_flat + 1) * 3 + (from_long + 1) * 9
-
-
-def _digit(code: Column, at: Column) -> Column:
-    return (
-        F.when(at == 0, code % 3)
-        .when(at == 1, F.floor(code / 3).cast("int") % 3)
-        .otherwise(F.floor(code / 9).cast("int"))
-    )
+    """One row's transition of a {-1, 0, 1} machine."""
+    return F.concat(*[(c + 1).cast("int").cast("string") for c in (from_short, from_flat, from_long)])
 
 
-def _then(first: Column, second: Column) -> Column:
-    """Transition of ``first`` followed by ``second``."""
-    steps = [_digit(second, _digit(first, F.lit(i))) for i in range(3)]
-    return (steps[0] + steps[1] * 3 + steps[2] * 9).cast("int")
+def _then(first: str, second: str) -> str:
+    return f"translate({first}, '{IDENTITY}', {second})"
 
 
-def _prefix(df: DataFrame, w: WindowSpec, col: str, steps: int) -> DataFrame:
-    """Compose each row's transition with all earlier ones in its group, by doubling distances."""
+def _prefix(df: DataFrame, over: str, steps: int) -> DataFrame:
+    """Compose ``_map`` with all earlier ones in its group, four times the distance per step."""
+    rest = [f"`{c}`" for c in df.columns if c != "_map"]
     for i in range(steps):
-        df = df.withColumn("_prev", F.lag(col, 2**i, IDENTITY).over(w))
-        df = df.withColumn(col, _then(F.col("_prev"), F.col(col))).drop("_prev")
+        lags = [f"lag(_map, {n * 4**i}, '{IDENTITY}') over {over} as _m{n}" for n in (1, 2, 3)]
+        composed = _then(_then(_then("_m3", "_m2"), "_m1"), "_map")
+        df = df.selectExpr("*", *lags).selectExpr(*rest, f"{composed} as _map")
     return df
 
 
+def _over(keys: list[str], order: str) -> str:
+    return f"(partition by {', '.join(f'`{k}`' for k in keys)} order by `{order}`)"
+
+
 def _carried(ends: DataFrame, keys: list[str], levels: int) -> DataFrame:
     """Transition up to the end of each block, from one row (keys, _blk, _map) per block."""
     if levels == 0:
-        w = Window.partitionBy(*keys).orderBy("_blk")
-        return _prefix(ends, w, "_map", CALENDAR_STEPS)
+        return _prefix(ends, _over(keys, "_blk"), CALENDAR_STEPS)
     ends = ends.withColumn("_sup", F.expr(f"_blk div {SCAN_BLOCK}"))
-    local = _prefix(ends, Window.partitionBy(*keys, "_sup").orderBy("_blk"), "_map", SCAN_STEPS)
+    local = _prefix(ends, _over([*keys, "_sup"], "_blk"), BLOCK_STEPS)
     tops = local.groupBy(*keys, "_sup").agg(F.max_by("_map", "_blk").alias("_map"))
     tops = _carried(tops.withColumnRenamed("_sup", "_blk"), keys, levels - 1)
     tops = tops.select(*keys, (F.col("_blk") + 1).alias("_sup"), F.col("_map").alias("_top"))
     joined = local.join(tops, [*keys, "_sup"], "left")
-    return joined.select(*keys, "_blk", _then(F.coalesce("_top", F.lit(IDENTITY)), F.col("_map")).alias("_map"))
+    return joined.select(*keys, "_blk", F.expr(_then(f"coalesce(_top, '{IDENTITY}')", "_map")).alias("_map"))
 
 
 def state_scan(df: DataFrame, s: Series, code: Column, out: str) -> DataFrame:
     """Run a {-1, 0, 1} machine that starts flat; ``code`` is a ``transition`` per row.
 
-    Composition of transitions is associative, so the scan needs lags only: no row loop, and in
-    blocks only one row per block moves between tasks.
+    Composition is associative, so the scan needs lags only: no row loop, and in blocks only one
+    row per block moves between tasks.
     """
     if s.inside:
         raise ValueError("a state machine needs whole series; run it before framing")
-    df = df.withColumn("_map", code.cast("int"))
-    state = (F.floor(F.col("_map") / 3).cast("int") % 3 - 1).alias(out)
-    columns = [c for c in df.columns if c != "_map"]
-    rows = s.block_rows(df)
-    if not rows:
-        return _prefix(df, s.window(), "_map", CALENDAR_STEPS).select(*columns, state)
+    columns = [f"`{c}`" for c in df.columns]
+    df = df.withColumn("_map", code)
+    state = f"cast(substring(_map, 2, 1) as int) - 1 as {out}"
+    if not s.block_rows(df):
+        return _prefix(df, s.over(), CALENDAR_STEPS).selectExpr(*columns, state)
     keys = list(s.keys)
     blocked = s.numbered(df).withColumn("_blk", F.expr(f"_rn div {SCAN_BLOCK}"))
-    local = _prefix(blocked, Window.partitionBy(*keys, "_blk").orderBy("_rn"), "_map", SCAN_STEPS)
+    local = _prefix(blocked, _over([*keys, "_blk"], "_rn"), BLOCK_STEPS)
     ends = local.groupBy(*keys, "_blk").agg(F.max_by("_map", "_rn").alias("_map"))
     ends = _carried(ends, keys, 1).select(*keys, (F.col("_blk") + 1).alias("_blk"), F.col("_map").alias("_before"))
     joined = local.join(ends, [*keys, "_blk"], "left")
-    joined = joined.withColumn("_map", _then(F.coalesce("_before", F.lit(IDENTITY)), F.col("_map")))
-    return joined.select(*columns, state)
+    joined = joined.withColumn("_map", F.expr(_then(f"coalesce(_before, '{IDENTITY}')", "_map")))
+    return joined.selectExpr(*columns, state)

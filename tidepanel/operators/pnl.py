@@ -99,16 +99,21 @@ def benchmark_buy_hold(df: DataFrame, rate: float = FLAT_RATE, s: Series = DAILY
 
 
 def portfolio_returns(
-    df: DataFrame, keys: tuple[str, ...] = (), missing: str = "drop", order: str = "dt"
+    df: DataFrame,
+    keys: tuple[str, ...] = (),
+    missing: str = "drop",
+    order: str = "dt",
+    universe: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of returns over the series of each date: (keys..., dt, ret).
 
     missing: "drop" keeps only dates on which every series has a row, "zero" keeps all.
+    universe: a table with the same (keys, ticker), if one is cheaper to read than df.
     """
     sums = df.groupBy(*keys, order).agg(F.sum("ret").alias("ret"), F.count("ret").alias("_here"))
     if missing == "zero":
         return sums.drop("_here")
-    names = df.select(*keys, "ticker").distinct()
+    names = (df if universe is None else universe).select(*keys, "ticker").distinct()
     if keys:
         sizes = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         joined = sums.join(sizes, list(keys))

@@ -84,7 +84,7 @@ def _expand(index: DataFrame, test_lo: Column, train_lo: Column, train_hi: Colum
     trains = (
         index.withColumns({"_lo": lo, "_hi": hi})
         .filter(F.col("_lo") <= F.col("_hi"))
-        .select(order, (F.explode(F.sequence("_lo", "_hi")) + 1).alias("fold"), F.lit("train").alias("role"))
+        .select(order, F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi") + 1)).alias("fold"), F.lit("train").alias("role"))
     )
     return tests.unionByName(trains)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.series import Series
+from tidepanel.functions.tables import materialise
 from tidepanel.operators.allocate import cross_sectional_topk, equal_weight, risk_parity
 from tidepanel.operators.hedge import alpha_decomposition, alpha_share, beta_hedge, hedged_returns, rolling_beta
 from tidepanel.operators.metrics import performance_report
@@ -57,7 +58,7 @@ def allocated(
     panel: DataFrame, allocation: str | Callable[[DataFrame, Series], DataFrame] = "risk_parity"
 ) -> DataFrame:
     """Risk rules and allocation; adds ``weight``.  The benchmark is held without rules."""
-    rows = apply_risk(panel, s=PANEL)
+    rows = materialise(apply_risk(panel, s=PANEL), "risk")
     free = F.col("strategy") == BENCHMARK
     rows = rows.withColumn("position", F.when(free, F.col("signal")).otherwise(F.col("position")))
     fn = ALLOCATIONS[allocation] if isinstance(allocation, str) else allocation
@@ -93,12 +94,14 @@ def portfolio_run(
     features: feature table with bars and score columns; market: (dt, market_ret).
     """
     bars = asset_returns(features)
-    weights = allocated(strategy_panel(bars, {**strategies, BENCHMARK: hold}), allocation)
-    plain = portfolio_returns(executed(weights, rate, impact), ("strategy",))
+    panel = materialise(strategy_panel(bars, {**strategies, BENCHMARK: hold}), "panel")
+    weights = materialise(allocated(panel, allocation), "weights")
+    plain = materialise(portfolio_returns(executed(weights, rate, impact), ("strategy",), universe=weights), "portfolio")
     neutral = hedged(
         plain.filter(F.col("strategy") != BENCHMARK), weights.filter(F.col("strategy") != BENCHMARK), bars, market
     )
-    return performance_report(plain.unionByName(neutral), PORTFOLIO, positions=False)
+    both = materialise(plain.unionByName(neutral), "returns")
+    return performance_report(both, PORTFOLIO, positions=False)
 
 
 def hedge_summary(portfolio: DataFrame, market: DataFrame) -> DataFrame:
@@ -116,7 +119,7 @@ def walk_forward_reports(
     rows = assign_folds(features, table).filter(F.col("role") == "test").drop("role")
     s = Series(keys=("fold", "ticker"))
     rows = positions_from_signals(asset_returns(signal(rows), s=s), s=s)
-    return performance_report(net_returns_flat(rows, rate, s=s), s)
+    return performance_report(materialise(net_returns_flat(rows, rate, s=s), "folds"), s)
 
 
 # Metrics compared between cost models
@@ -126,11 +129,12 @@ COMPARED = ("sharpe_ratio", "cagr", "max_drawdown", "total_return", "sortino_rat
 def cost_model_comparison(weights: DataFrame, rate: float = FLAT_RATE) -> DataFrame:
     """Portfolio metrics with a flat rate and with estimated impact, and their differences."""
     parts = [
-        portfolio_returns(executed(weights, rate, impact), ("strategy",)).withColumn("mode", F.lit(mode))
+        portfolio_returns(executed(weights, rate, impact), ("strategy",), universe=weights).withColumn("mode", F.lit(mode))
         for mode, impact in (("flat", False), ("impact", True))
     ]
     s = PORTFOLIO.with_keys("mode")
-    reports = performance_report(parts[0].unionByName(parts[1]), s, positions=False)
+    both = materialise(parts[0].unionByName(parts[1]), "modes")
+    reports = materialise(performance_report(both, s, positions=False), "reports")
     flat, impact = (
         reports.filter(F.col("mode") == m).select("strategy", *[F.col(c).alias(f"{m}_{c}") for c in COMPARED])
         for m in ("flat", "impact")
@@ -147,8 +151,8 @@ def cost_sensitivity(weights: DataFrame, rates: dict[str, float] = SENSITIVITY)
     """Portfolio metrics per strategy and cost level, all levels in one plan."""
     levels = cost_levels(weights, rates)
     rows = executed(levels, F.col("cost_rate"), True, PANEL.with_keys("cost_level"))
-    portfolio = portfolio_returns(rows, ("cost_level", "strategy"))
-    return performance_report(portfolio, PORTFOLIO.with_keys("cost_level"), positions=False)
+    portfolio = portfolio_returns(rows, ("cost_level", "strategy"), universe=levels)
+    return performance_report(materialise(portfolio, "levels"), PORTFOLIO.with_keys("cost_level"), positions=False)
 
 
 def market_returns(market: DataFrame) -> DataFrame:

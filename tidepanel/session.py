@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+from tidepanel.functions.tables import shared_folder
+
 
 def local_session(name: str, cores: int | str | None = None, memory: str = "12g") -> SparkSession:
     cores = cores or os.environ.get("BENCH_CPUS") or 8
@@ -18,6 +19,8 @@ def local_session(name: str, cores: int | str | None = None, memory: str = "12g"
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # wide plans hold more generated classes than the default of 100 keeps
+        .config("spark.sql.codegen.cache.maxEntries", "3000")
         .config("spark.ui.showConsoleProgress", "false")
         # projections of many features: methods the JIT compiles instead of one huge interpreted one
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
@@ -27,14 +30,5 @@ def local_session(name: str, cores: int | str | None = None, memory: str = "12g"
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    shared_folder(spark)
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
