@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog import views as v
 from tidepanel.catalog.base import add
-from tidepanel.catalog.trading_queries import scored
+from tidepanel.catalog.trading_queries import panel, scored
 from tidepanel.functions.tables import materialise, new_path
-from tidepanel.operators import indicators, models
+from tidepanel.operators import cvar, indicators, metrics, models, pnl
+from tidepanel.plans import portfolio as pf
 
 FEATURES = ["zscore_5", "zscore_20", "realized_vol_20d", "rolling_ret_21d", "regime_trend_slope", "regime_drawdown", "rsi", "macro_F_trend"]
 # small learners keep the checks short; the operators default to the full sizes
@@ -114,3 +115,22 @@ REPORT = "accuracy prec recall f1 auc"
 add("time_stability", "P1", lambda s, d: models.time_stability(table(s, d), FEATURES, BOOST), keys="label", ints="n_test degrades", doubles=REPORT)
 add("feature_subset_stability", "P2", lambda s, d: models.feature_subset_stability(table(s, d), FEATURES, BOOST), keys="label", ints="n_test", doubles=REPORT)
 add("label_shuffle_test", "P3", lambda s, d: models.label_shuffle_test(table(s, d), FEATURES, BOOST), keys="verdict", doubles="real shuffled")
+
+
+def _cvar(spark: SparkSession, d: str) -> DataFrame:
+    bars = pnl.asset_returns(v.bars(spark, d)).withColumn("position", F.lit(1.0))
+    return cvar.cvar_allocation(bars)
+
+
+def _cvar_universe(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty series with the active-set form that large universes take."""
+    bars = materialise(pnl.asset_returns(v.bars(spark, d, "bars50")), "bars50")
+    return cvar.cvar_weights(bars, group_assets=10)
+
+
+add("cvar_weights", "L4", _cvar, doubles="weight")
+add("cvar_weights_generated", "L4", _cvar_universe, keys="ticker", ints="m", doubles="w")
+add(
+    "allocation_comparison", "O13", lambda s, d: pf.compare_allocations(panel(s, d)),
+    keys="strategy verdict", ints="score", doubles=" ".join(f"delta_{c}" for c in metrics.HEADLINE),
+)

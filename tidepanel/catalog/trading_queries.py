@@ -854,8 +854,8 @@ add(
 _LEAKY = ["zscore_20", "target_direction", "pred_S", "meta_pred"]
 add(
     "leak_audit", "Q4", on_scored(lambda x: quality.leak_audit(x, _LEAKY)),
-    (with_("scored"), " union all ".join(f"select '{c}' as column, count({c}) as n_known from scored" for c in _LEAKY[1:])),
-    keys="column", ints="n_known",
+    (with_("scored"), " union all ".join(f"select '{c}' as name, count({c}) as n_known from scored" for c in _LEAKY[1:])),
+    keys="name", ints="n_known",
 )
 add(
     "calendar_overlap", "Q5", on_bars(lambda b: quality.calendar_overlap(b, "5-LOW")),

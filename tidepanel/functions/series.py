@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepanel.functions.tables import materialise
+
 EPS = 1e-10
 TRADING_DAYS = 252
 
@@ -83,6 +85,8 @@ class Series:
         give each slot its offset.
         """
         keys = list(self.keys)
+        # the table is read twice, and chained operators would repeat their inputs each time
+        df = materialise(df, "numbered")
         slotted = df.withColumn("_slot", self._slot_column(df))
         counts = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_cnt"))
         before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -442,7 +446,7 @@ def running(df: DataFrame, s: Series, specs: dict[str, tuple[str, Column]], reve
 
     keys = list(s.keys)
     blocked = s.numbered(df).withColumn("_blk", F.expr(f"_rn div {rows}"))
-    blocked = blocked.withColumns({f"_in_{o}": args[o] for o in specs})
+    blocked = materialise(blocked.withColumns({f"_in_{o}": args[o] for o in specs}), "blocks")
     sign = -1 if reverse else 1
     local = Window.partitionBy(*keys, "_blk").orderBy(F.col("_rn") * sign).rowsBetween(Window.unboundedPreceding, 0)
     ends = blocked.groupBy(*keys, "_blk").agg(
@@ -529,7 +533,7 @@ def state_scan(df: DataFrame, s: Series, code: Column, out: str) -> DataFrame:
         return _prefix(df, s.over(), CALENDAR_STEPS).selectExpr(*columns, state)
     keys = list(s.keys)
     blocked = s.numbered(df).withColumn("_blk", F.expr(f"_rn div {SCAN_BLOCK}"))
-    local = _prefix(blocked, _over([*keys, "_blk"], "_rn"), BLOCK_STEPS)
+    local = materialise(_prefix(blocked, _over([*keys, "_blk"], "_rn"), BLOCK_STEPS), "states")
     ends = local.groupBy(*keys, "_blk").agg(F.max_by("_map", "_rn").alias("_map"))
     ends = _carried(ends, keys, 1).select(*keys, (F.col("_blk") + 1).alias("_blk"), F.col("_map").alias("_before"))
     joined = local.join(ends, [*keys, "_blk"], "left")

@@ -54,11 +54,11 @@ def leak_columns(features: list[str]) -> list[str]:
 
 
 def leak_audit(df: DataFrame, features: list[str]) -> DataFrame:
-    """Known values in each leaking column: (column, n_known)."""
+    """Known values in each leaking column: (name, n_known)."""
     bad = leak_columns(features)
     if not bad:
-        return df.sparkSession.createDataFrame([], "column string, n_known long")
-    return df.agg(*[F.count(c).alias(c) for c in bad]).unpivot([], bad, "column", "n_known")
+        return df.sparkSession.createDataFrame([], "name string, n_known long")
+    return df.agg(*[F.count(c).alias(c) for c in bad]).unpivot([], bad, "name", "n_known")
 
 
 def calendar_overlap(df: DataFrame, base: str, least: float = 0.8) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidepanel.functions.series import Series
 from tidepanel.functions.tables import materialise
 from tidepanel.operators.allocate import cross_sectional_topk, equal_weight, risk_parity
+from tidepanel.operators.cvar import cvar_allocation
 from tidepanel.operators.hedge import alpha_decomposition, alpha_share, beta_hedge, hedged_returns, rolling_beta
-from tidepanel.operators.metrics import performance_report
+from tidepanel.operators.metrics import allocation_comparison, performance_report, tail_stats
 from tidepanel.operators.pnl import (
     FLAT_RATE,
     asset_returns,
@@ -36,6 +37,7 @@ ALLOCATIONS: dict[str, Callable[[DataFrame, Series], DataFrame]] = {
     "equal_weight": lambda df, s: equal_weight(df),
     "risk_parity": lambda df, s: risk_parity(df, s=s),
     "cross_sectional": lambda df, s: cross_sectional_topk(df, s),
+    "cvar": lambda df, s: cvar_allocation(df, s),
 }
 
 
@@ -122,6 +124,21 @@ def walk_forward_reports(
     return performance_report(materialise(net_returns_flat(rows, rate, s=s), "folds"), s)
 
 
+def compare_allocations(
+    panel: DataFrame, first: str = "cvar", second: str = "risk_parity", rate: float = FLAT_RATE
+) -> DataFrame:
+    """Headline metrics of two allocation methods on the same signals: differences, score, verdict."""
+    parts = []
+    for method in (first, second):
+        weights = materialise(allocated(panel, method), "weights")
+        net = portfolio_returns(executed(weights, rate, False), ("strategy",), missing="zero")
+        parts.append(net.withColumn("method", F.lit(method)))
+    both = materialise(parts[0].unionByName(parts[1]), "methods")
+    s = PORTFOLIO.with_keys("method")
+    reports = performance_report(both, s, positions=False).join(tail_stats(both, s=s), list(s.keys))
+    return allocation_comparison(reports, first, second)
+
+
 # Metrics compared between cost models
 COMPARED = ("sharpe_ratio", "cagr", "max_drawdown", "total_return", "sortino_ratio", "win_rate")
 
