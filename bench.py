@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from tidepanel.catalog import trading_queries as q
@@ -59,6 +60,7 @@ def main() -> None:
             start = time.perf_counter()
             query().write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - start
+            print(f"{name} {took:.2f}", file=sys.stderr, flush=True)
         seconds[name] = round(took, 3)
     print(
         json.dumps(

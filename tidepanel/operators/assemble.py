@@ -142,14 +142,14 @@ def build_features(
 
     macro: long bars with column ``label``; labels: the fixed list that becomes columns.
     """
-    df = bars
-    if macro is not None:
-        df = attach_macro(df, macro, labels, s)
-    df = by_date(df, universe_avg_return(bars, s), s.order)
-    df = technical_all(df, s=s)
+    df = technical_all(bars, s=s)
     df = returns_all(df, s=s)
     df = regime_features(df, s=s)
     df = cyclical_dow(calendar_features(df, s.order))
     df = target_direction(forward_return(df, horizon, s=s))
+    # columns per date come last: rows stay narrow through the windows
+    df = by_date(df, universe_avg_return(bars, s), s.order)
     df = corr_with_universe(relative_strength(df), s=s)
+    if macro is not None:
+        df = attach_macro(df, bars, macro, labels, s)
     return warmup_filter(df, share)

@@ -79,9 +79,11 @@ def macro_warmup_range(macro: DataFrame, calendar: DataFrame, days: int = 120, o
     return with_totals(macro, span).filter(inside).drop("_lo", "_hi")
 
 
-def attach_macro(bars: DataFrame, macro: DataFrame, labels: list[str], s: Series = DAILY) -> DataFrame:
-    """Join the aligned macro columns to the bars of a daily panel."""
+def attach_macro(
+    df: DataFrame, bars: DataFrame, macro: DataFrame, labels: list[str], s: Series = DAILY
+) -> DataFrame:
+    """Join the macro columns, aligned to the calendar of the bars, to a table with their dates."""
     calendar = bars.select(s.order).distinct()
     history = macro_warmup_range(macro, calendar, order=s.order)
     wide = align_macro(macro_features(history, s=Series(keys=("label",), order=s.order)), calendar, labels, order=s.order)
-    return by_date(bars, wide, s.order)
+    return by_date(df, wide, s.order)

@@ -14,9 +14,11 @@ def local_session(name: str, cores: int | str | None = None, memory: str = "12g"
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # the work is in wide windows over little data: one partition per core, not merged by size
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         # wide plans hold more generated classes than the default of 100 keeps
