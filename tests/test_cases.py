@@ -220,3 +220,12 @@ def test_save_and_load_latest(spark, bars, tmp_path):
     assert models.load_model(spark, str(tmp_path), "Forest").transform(rows).count() == bars.count()
     with pytest.raises(FileNotFoundError):
         models.load_model(spark, str(tmp_path), "Forest", "bear")
+
+
+def test_zero_price_is_unknown_not_an_error(spark):
+    from tidepanel.operators.regime import regime_features
+    from tidepanel.operators.returns import log_returns
+
+    df = closes(spark, [100, 0, 101, 102, 103])
+    out = ordered(pnl.asset_returns(regime_features(log_returns(df, (1,)))), "asset_ret", "log_ret_1d")
+    assert out["asset_ret"][2] == 0.0 and pd.isna(out["log_ret_1d"][2])

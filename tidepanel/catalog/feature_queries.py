@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog import views as v
 from tidepanel.catalog.base import add
-from tidepanel.catalog.oracle import EPS, MACRO_FEATURES, flag, lag, roll, with_
+from tidepanel.catalog.oracle import EPS, MACRO_FEATURES, lag, roll, with_
 from tidepanel.functions.series import DAILY, Series
 from tidepanel.functions.tables import new_path
 from tidepanel.operators import assemble, clean, ic, indicators, macro, regime, returns

@@ -95,7 +95,7 @@ def rebased_prices(df: DataFrame, s: Series = DAILY) -> DataFrame:
     full = with_totals(counts, _universe(df)).filter(F.col("_here") == F.col("_n_assets")).select(s.order)
     rows = by_date(df.select(*s.keys, s.order, "close"), full, s.order, "inner")
     first = rows.groupBy(*s.keys).agg(F.min_by("close", s.order).alias("_base"))
-    rebased = rows.join(first, list(s.keys)).withColumn("rebased", F.col("close") / F.col("_base") * 100.0)
+    rebased = rows.join(first, list(s.keys)).withColumn("rebased", F.try_divide(F.col("close"), F.col("_base")) * 100.0)
     index = rebased.groupBy(s.order).agg(F.avg("rebased").alias("index_value"))
     return by_date(rebased.drop("_base", "close"), index, s.order)
 
@@ -108,7 +108,7 @@ def order_deltas(weights: DataFrame, holdings: DataFrame, prices: DataFrame, equ
     """
     held = holdings.select("ticker", F.col("qty").alias("_held"))
     book = weights.join(held, "ticker", "full_outer").join(prices.select("ticker", "price"), "ticker", "left")
-    shares = F.floor(F.lit(equity) * F.col("weight") / F.col("price"))
+    shares = F.floor(F.try_divide(F.lit(equity) * F.col("weight"), F.col("price")))
     target = (
         F.when(F.col("weight").isNull() | (F.col("weight") == 0), F.lit(0))
         .when(F.col("price").isNotNull(), shares)

@@ -54,7 +54,7 @@ def cyclical_dow(df: DataFrame) -> DataFrame:
 @windowed(0, lambda p: p["horizon"])
 def forward_return(df: DataFrame, horizon: int = 1, s: Series = DAILY, out: str = "target_fwd_return") -> DataFrame:
     """Return over the next ``horizon`` rows: a label, never a feature."""
-    return df.withColumn(out, F.lead("close", horizon).over(s.window()) / F.col("close") - 1.0)
+    return df.withColumn(out, F.try_divide(F.lead("close", horizon).over(s.window()), F.col("close")) - 1.0)
 
 
 def target_direction(df: DataFrame, threshold: float = 0.005) -> DataFrame:

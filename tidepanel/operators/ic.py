@@ -15,7 +15,7 @@ LEAST_PAIRS = 30
 @windowed(0, lambda p: max(p["horizons"]))
 def forward_returns(df: DataFrame, horizons=HORIZONS, s: Series = DAILY) -> DataFrame:
     w = s.window()
-    return df.withColumns({f"fwd_ret_{h}d": F.lead("close", h).over(w) / F.col("close") - 1.0 for h in horizons})
+    return df.withColumns({f"fwd_ret_{h}d": F.try_divide(F.lead("close", h).over(w), F.col("close")) - 1.0 for h in horizons})
 
 
 def _window_rank(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:

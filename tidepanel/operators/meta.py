@@ -194,7 +194,7 @@ def _arm(ret: Column, signal: Column, tag: str) -> list[Column]:
         F.count(active).alias(f"{tag}_trades"),
         kept(F.avg(ret) / F.stddev_samp(ret) * ANNUAL).alias(f"{tag}_sharpe"),
         kept(F.product(ret + 1.0) - 1.0).alias(f"{tag}_return"),
-        kept(F.count(F.when(active > 0, 1)) / F.count(active)).alias(f"{tag}_win_rate"),
+        kept(F.try_divide(F.count(F.when(active > 0, 1)), F.count(active))).alias(f"{tag}_win_rate"),
         kept(F.avg(active)).alias(f"{tag}_avg"),
     ]
 

@@ -29,7 +29,7 @@ def drawdowns(df: DataFrame, s: Series = DAILY) -> DataFrame:
     """
     df = running(df, s, {"growth": ("product", F.col("ret") + 1.0), "_row": ("sum", F.lit(1))})
     df = running(df, s, {"peak": ("max", F.col("growth"))})
-    df = df.withColumn("drawdown", F.col("growth") / F.col("peak") - 1.0)
+    df = df.withColumn("drawdown", F.try_divide(F.col("growth"), F.col("peak")) - 1.0)
     df = running(df, s, {"_at": ("last", F.when(~(F.col("drawdown") < 0), F.col("_row")))})
     return df.withColumn("below_rows", (F.col("_row") - F.coalesce("_at", F.lit(0))).cast("long")).drop("_row", "_at")
 
@@ -239,7 +239,7 @@ def allocation_comparison(reports: DataFrame, first: str, second: str, keys: tup
 
 @windowed(1)
 def _plain_return(df: DataFrame, s: Series = DAILY) -> DataFrame:
-    return df.withColumn("_r", F.col("close") / F.lag("close", 1).over(s.window()) - 1.0)
+    return df.withColumn("_r", F.try_divide(F.col("close"), F.lag("close", 1).over(s.window())) - 1.0)
 
 
 def series_summary(df: DataFrame, s: Series = DAILY) -> DataFrame:
@@ -248,7 +248,7 @@ def series_summary(df: DataFrame, s: Series = DAILY) -> DataFrame:
         F.min(s.order).alias("start_date"),
         F.max(s.order).alias("end_date"),
         F.count(F.lit(1)).alias("bars"),
-        (F.max_by("close", s.order) / F.min_by("close", s.order) - 1.0).alias("total_return"),
+        (F.try_divide(F.max_by("close", s.order), F.min_by("close", s.order)) - 1.0).alias("total_return"),
         F.avg("_r").alias("_m"),
         F.stddev_samp("_r").alias("_s"),
     )

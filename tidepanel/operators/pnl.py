@@ -15,7 +15,7 @@ FLAT_RATE = 0.001
 @windowed(1)
 def asset_returns(df: DataFrame, s: Series = DAILY) -> DataFrame:
     """Add ``asset_ret``: simple return per bar, 0 on the first."""
-    ret = F.col("close") / F.lag("close", 1).over(s.window()) - 1.0
+    ret = F.try_divide(F.col("close"), F.lag("close", 1).over(s.window())) - 1.0
     return df.withColumn("asset_ret", F.coalesce(ret, F.lit(0.0)))
 
 
@@ -87,7 +87,7 @@ def trades(df: DataFrame, rate: float = FLAT_RATE, capital: float = CAPITAL, s:
         F.max_by(F.coalesce("_next_dt", s.order), s.order).alias("exit_dt"),
         F.max_by(F.coalesce("_next_close", "close"), s.order).alias("exit_price"),
     )
-    net = F.col("direction") * (F.col("exit_price") / F.col("entry_price") - 1.0) - 2.0 * rate
+    net = F.col("direction") * (F.try_divide(F.col("exit_price"), F.col("entry_price")) - 1.0) - 2.0 * rate
     rows = rows.withColumns({"shares": F.lit(capital) / (F.col("entry_price") + EPS), "return_pct": net})
     notional = F.col("shares") * F.col("entry_price")
     return rows.withColumns({"pnl": notional * F.col("return_pct"), "cost": notional * (2.0 * rate)})
@@ -128,7 +128,7 @@ def equity_snapshot(df: DataFrame, keys: tuple[str, ...] = ("ticker",), order: s
         F.max_by("equity", order).alias("equity"), F.max(order).alias("last_dt")
     )
     first = df.groupBy(*keys).agg(F.min_by("equity", order).alias("_first"))
-    return quarter.join(first, list(keys)).withColumn("cum_return", F.col("equity") / F.col("_first") - 1.0).drop("_first")
+    return quarter.join(first, list(keys)).withColumn("cum_return", F.try_divide(F.col("equity"), F.col("_first")) - 1.0).drop("_first")
 
 
 def cost_levels(df: DataFrame, rates: dict[str, float], out: str = "cost_level") -> DataFrame:

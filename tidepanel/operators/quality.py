@@ -44,7 +44,7 @@ def target_audit(df: DataFrame, least: int = 100) -> DataFrame:
     if absent:
         raise ValueError(f"targets missing: {absent}")
     counts = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count("target_direction").alias("n_labels"))
-    share = F.lit(1.0) - F.col("n_labels") / F.col("n_rows")
+    share = F.lit(1.0) - F.try_divide(F.col("n_labels"), F.col("n_rows"))
     return counts.withColumns({"null_share": share, "enough": (F.col("n_labels") >= least).cast("int")})
 
 

@@ -53,8 +53,8 @@ def regime_features(df: DataFrame, vol_window: int = 21, trend_window: int = 50,
             "regime_is_low_vol": flag(vol <= mean),
             "regime_trend_bullish": flag(F.col("close") > trend),
             "regime_trend_bearish": flag(F.col("close") <= trend),
-            "regime_trend_slope": (trend - before) / before,
-            "regime_drawdown": F.col("close") / F.col("_peak") - 1.0,
+            "regime_trend_slope": F.try_divide(trend - before, before),
+            "regime_drawdown": F.try_divide(F.col("close"), F.col("_peak")) - 1.0,
         }
     ).drop("_mean", "_trend", "_before", "_peak")
     df = df.withColumns(

@@ -31,11 +31,12 @@ ZSCORE_WINDOWS = (20, 60)
 
 
 def log_ret(n: int, s: Series, price: str = "close") -> Column:
-    return F.ln(F.col(price) / F.lag(price, n).over(s.window()))
+    # try_divide: a zero price gives NULL instead of failing the job
+    return F.ln(F.try_divide(F.col(price), F.lag(price, n).over(s.window())))
 
 
 def simple_ret(n: int, s: Series, price: str = "close") -> Column:
-    return F.col(price) / F.lag(price, n).over(s.window()) - 1.0
+    return F.try_divide(F.col(price), F.lag(price, n).over(s.window())) - 1.0
 
 
 def _need_log_ret(df: DataFrame, s: Series) -> DataFrame:

@@ -33,7 +33,7 @@ def running_pnl(df: DataFrame, s: Series = DAILY) -> DataFrame:
     df = _position_returns(df, s=s)
     df = running(df, s, {"cum_ret": ("product", F.col("_pnl") + 1.0)})
     df = running(df, s, {"peak": ("max", F.col("cum_ret"))})
-    return df.withColumn("drawdown", F.col("cum_ret") / F.col("peak") - 1.0).withColumnRenamed("_pnl", "pnl")
+    return df.withColumn("drawdown", F.try_divide(F.col("cum_ret"), F.col("peak")) - 1.0).withColumnRenamed("_pnl", "pnl")
 
 
 @windowed(1)

@@ -18,7 +18,7 @@ def model_positions(df: DataFrame, pred: str, s: Series = DAILY) -> DataFrame:
     """Yesterday's call as +1 or -1 (0 on the first bar), its gross return and the change."""
     w = s.window()
     side = F.when(F.col(pred) == 1, 1.0).otherwise(-1.0)
-    df = df.withColumns({"_side": side, "_r": F.col("close") / F.lag("close", 1).over(w) - 1.0})
+    df = df.withColumns({"_side": side, "_r": F.try_divide(F.col("close"), F.lag("close", 1).over(w)) - 1.0})
     df = df.withColumn("position", F.coalesce(F.lag("_side", 1).over(w), F.lit(0.0)))
     df = df.withColumn("change", F.abs(F.col("position") - F.coalesce(F.lag("position", 1).over(w), F.lit(0.0))))
     return df.withColumn("gross", F.col("position") * F.coalesce("_r", F.lit(0.0))).drop("_side", "_r")
