@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.series import Series
+from tidepanel.functions.tables import materialise
 
 RESOLUTION = 4096
 
@@ -30,6 +31,8 @@ def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("_b", value_bucket(F.col(value)))
     )
+    # read three times below; without this the input would be computed as often
+    counts = materialise(counts, "counts")
     totals = counts.groupBy(*groups, "_b").agg(F.sum("n").alias("_bn"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*groups, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.ranks import average_rank
 from tidepanel.functions.series import DAILY, Series, windowed
+from tidepanel.functions.tables import materialise
 
 HORIZONS = (1, 5, 10, 20)
 LEAST_PAIRS = 30
@@ -53,8 +54,11 @@ def ic_matrix(
     if method == "spearman":
         # one series of dates is a small group; anything larger is ranked in value buckets
         whole = set(s.keys) <= set(by) and not s.block_rows(df)
-        rank = _window_rank if whole else average_rank
-        long = rank(rank(long, groups, "x", "_rx"), groups, "y", "_ry")
+        if whole:
+            long = _window_rank(_window_rank(long, groups, "x", "_rx"), groups, "y", "_ry")
+        else:
+            long = materialise(average_rank(materialise(long, "pairs"), groups, "x", "_rx"), "ranked")
+            long = average_rank(long, groups, "y", "_ry")
         pair = ("_rx", "_ry")
     else:
         pair = ("x", "y")
