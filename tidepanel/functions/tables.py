@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; a temporary one only where none is set."""
+    """The folder the session names for checkpoints.
+
+    Only a local session, whose driver and executors are one process, gets a temporary one; on a
+    cluster such a folder would be another on every machine.
+    """
     set_by_session = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_by_session:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_by_session = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(set_by_session)
     return set_by_session.rstrip("/")
