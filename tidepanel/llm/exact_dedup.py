@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.functions.tables import new_path
+from tidepanel.functions.tables import materialise, new_path
 from tidepanel.llm.text import lower_ascii
 
 SCHEMA = "text_sha256 string, keep_id long, group_size long, batch string"
@@ -57,6 +57,8 @@ class DigestIndex:
         if index.filter(F.col("batch") == batch).limit(1).count():
             return
         groups = digests.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        # as a table: else the anti-join moves below the grouping, and every row is shuffled
+        groups = materialise(groups, "groups")
         known = index.select("text_sha256")
         fresh = groups.join(known.hint("merge"), "text_sha256", "left_anti")
         (
@@ -76,6 +78,7 @@ class DigestIndex:
         id take part: a group of them alone has keep_id null and none is kept.
         """
         digests = docs.select(F.col(id).cast("long").alias("id"), digest(F.col(text)).alias("text_sha256"))
+        digests = materialise(digests, "digests")
         self.add(digests, batch)
         return attach(digests, self.read(), batch).withColumnRenamed("id", id)
 
