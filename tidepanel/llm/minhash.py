@@ -30,8 +30,8 @@ from tidepanel.llm.text import SPACE_WORD, Rolling, Texts, mix, texts
 #: with probability 7e-9, at 0.8 with 3e-6.
 CIRCLE, BANDS, ROWS = 1 << 20, 32, 5
 COORDINATES = BANDS * ROWS
-#: Signatures that agree in fewer coordinates than threshold minus this share are no link: over five standard deviations.
-SLACK = 0.18
+#: Signatures that agree in fewer coordinates than threshold minus this share are no link: 5.3 standard deviations at 0.85, 4.7 at 0.8.
+SLACK = 0.15
 BLOCK = 256
 
 WORDS = Rolling(0xD6E8FEB86659FD93)
@@ -144,12 +144,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     )
     reps = marked.filter("doc_id is not null").join(classes.select("set_key", F.col("rep").alias("doc_id"), "n"), ["set_key", "doc_id"]).dropDuplicates(["set_key"])
     reps = materialise(reps.select(F.col("doc_id").alias("rep"), "n", "bands", "sig"), "reps")
-    rows = reps.select("rep", "n", F.explode("bands").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1")
-    grouped = rows.join(leaders, "key").select("key", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("n2"), "members")
-    grouped = materialise(grouped, "groups")
-
-    first = materialise(grouped.filter("rep <> lead").filter(alike_in_size(percent)).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    rows = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    grouped = materialise(rows.join(sizes, "key").select("key", "band", "rep", "n", "members"), "groups")
+    # the member whose bands are shared most is the likeliest to be linked with the others: it leads
+    shared = grouped.groupBy("rep").agg(F.sum("members").alias("weight"))
+    leaders = grouped.join(shared, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"), "n")).alias("lead"))
+    leaders = leaders.select("key", (-F.col("lead.low")).alias("lead"), F.col("lead.n").alias("n2"))
+    first = grouped.join(leaders, "key").filter("rep <> lead").filter(alike_in_size(percent))
+    first = materialise(first.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct(), "pairs")
     links = materialise(confirmed(first, docs, size, percent), "confirmed")
     roots = materialise(components(links), "roots")
 
@@ -171,16 +174,16 @@ def _open_pairs(grouped: DataFrame, reps: DataFrame, roots: DataFrame, percent:
     In a group the largest component is not compared with itself, nor is any other.  The rest, cut into blocks,
     meets every block of the group; a task sees two blocks at a time.
     """
-    member = grouped.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "n", "members", F.coalesce("root", "rep").alias("root"))
+    member = grouped.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "band", "rep", "n", "members", F.coalesce("root", "rep").alias("root"))
     parts = member.groupBy("key", "root").agg(F.count("*").alias("own"), F.first("members").alias("members"))
     facts = parts.groupBy("key").agg(F.max(F.struct("own", "root")).alias("main"), F.max("members").alias("members"))
     facts = facts.filter(F.col("main.own") < F.col("members")).select("key", F.col("main.root").alias("main"), (F.col("members") - F.col("main.own")).alias("others"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     at = member.join(facts, "key").join(reps.select("rep", "sig"), "rep")
     at = at.withColumn("all", blocks("members")).withColumn("some", blocks("others")).withColumn("h", F.xxhash64("rep"))
-    every = at.select("key", "rep", "n", "root", "sig", F.pmod("h", F.col("all")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("some") - 1)).alias("y"), F.lit(False).alias("asks"))
+    every = at.select("key", "band", "rep", "n", "root", "sig", F.pmod("h", F.col("all")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("some") - 1)).alias("y"), F.lit(False).alias("asks"))
     rest = at.filter("root <> main").select(
-        "key", "rep", "n", "root", "sig", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("x"), F.pmod("h", F.col("some")).cast("int").alias("y"), F.lit(True).alias("asks")
+        "key", "band", "rep", "n", "root", "sig", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("x"), F.pmod("h", F.col("some")).cast("int").alias("y"), F.lit(True).alias("asks")
     )
     least = int((percent / 100 - SLACK) * COORDINATES)
 
@@ -189,10 +192,14 @@ def _open_pairs(grouped: DataFrame, reps: DataFrame, roots: DataFrame, percent:
         rep, n, root = (table.column(c).to_numpy() for c in ("rep", "n", "root"))
         sig = np.stack([np.frombuffer(s, np.uint16) for s in table.column("sig").to_pylist()])
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        band = table.column("band")[0].as_py()
         a, b = [rep[:0]], [rep[:0]]
         for i in left:
             ok = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            ok = ok[(sig[ok] == sig[i]).sum(axis=1) >= least]
+            same = sig[ok] == sig[i]
+            # a pair that shares several bands is reported in the first one only
+            here = ~same.reshape(len(ok), BANDS, ROWS)[:, :band].all(axis=2).any(axis=1)
+            ok = ok[here & (same.sum(axis=1) >= least)]
             a.append(np.minimum(rep[ok], rep[i]))
             b.append(np.maximum(rep[ok], rep[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
