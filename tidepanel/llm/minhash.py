@@ -30,8 +30,6 @@ from tidepanel.llm.text import SPACE_WORD, Rolling, Texts, mix, texts
 #: with probability 7e-9, at 0.8 with 3e-6.
 CIRCLE, BANDS, ROWS = 1 << 20, 32, 5
 COORDINATES = BANDS * ROWS
-#: Signatures that agree in fewer coordinates than threshold minus this share are no link: 5.3 standard deviations at 0.85, 4.7 at 0.8.
-SLACK = 0.15
 BLOCK = 256
 
 WORDS = Rolling(0xD6E8FEB86659FD93)
@@ -80,29 +78,28 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
+SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, marks binary"
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Per document: set size, a key that equal sets share, band keys and a shortened signature; null for empty sets."""
+    """Per document: set size, a key that equal sets share, band keys, and the set as 16-bit marks; null for empty sets."""
 
     def run(batches):
         salt = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         for t in texts(batches):
             sets = shingle_sets(t, size)
             some = [i for i, s in enumerate(sets) if len(s)]
-            keys, bands, sigs = ([None] * len(sets) for _ in range(3))
+            keys, bands, marks = ([None] * len(sets) for _ in range(3))
             if some:
                 sig = np.stack([signature(sets[i]) for i in some])
                 parts = sig.reshape(len(some), BANDS, ROWS).astype(np.uint64)
                 key = mix(mix((parts * FACTORS[:ROWS]).sum(axis=2, dtype=np.uint64)) + salt).view(np.int64)
-                short = (sig & 0xFFFF).astype(np.uint16)
                 for j, i in enumerate(some):
                     keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                    bands[i], sigs[i] = key[j], short[j].tobytes()
+                    bands[i], marks[i] = key[j], (sets[i] & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [t.rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                [t.rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "bands", "marks"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
@@ -143,7 +140,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
         marked.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).filter("rep is not null"), "classes"
     )
     reps = marked.filter("doc_id is not null").join(classes.select("set_key", F.col("rep").alias("doc_id"), "n"), ["set_key", "doc_id"]).dropDuplicates(["set_key"])
-    reps = materialise(reps.select(F.col("doc_id").alias("rep"), "n", "bands", "sig"), "reps")
+    reps = materialise(reps.select(F.col("doc_id").alias("rep"), "n", "bands", "marks"), "reps")
     rows = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     grouped = materialise(rows.join(sizes, "key").select("key", "band", "rep", "n", "members"), "groups")
@@ -169,7 +166,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
 
 
 def _open_pairs(grouped: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one group but different components whose sizes and signatures allow a link.
+    """Pairs of one group but different components whose marks allow a link; none that is one is left out.
 
     In a group the largest component is not compared with itself, nor is any other.  The rest, cut into blocks,
     meets every block of the group; a task sees two blocks at a time.
@@ -179,29 +176,35 @@ def _open_pairs(grouped: DataFrame, reps: DataFrame, roots: DataFrame, percent:
     facts = parts.groupBy("key").agg(F.max(F.struct("own", "root")).alias("main"), F.max("members").alias("members"))
     facts = facts.filter(F.col("main.own") < F.col("members")).select("key", F.col("main.root").alias("main"), (F.col("members") - F.col("main.own")).alias("others"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    at = member.join(facts, "key").join(reps.select("rep", "sig"), "rep")
+    at = member.join(facts, "key").join(reps.select("rep", "bands", "marks"), "rep")
     at = at.withColumn("all", blocks("members")).withColumn("some", blocks("others")).withColumn("h", F.xxhash64("rep"))
-    every = at.select("key", "band", "rep", "n", "root", "sig", F.pmod("h", F.col("all")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("some") - 1)).alias("y"), F.lit(False).alias("asks"))
+    every = at.select("key", "band", "rep", "n", "root", "bands", "marks", F.pmod("h", F.col("all")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("some") - 1)).alias("y"), F.lit(False).alias("asks"))
     rest = at.filter("root <> main").select(
-        "key", "band", "rep", "n", "root", "sig", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("x"), F.pmod("h", F.col("some")).cast("int").alias("y"), F.lit(True).alias("asks")
+        "key", "band", "rep", "n", "root", "bands", "marks", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("x"), F.pmod("h", F.col("some")).cast("int").alias("y"), F.lit(True).alias("asks")
     )
-    least = int((percent / 100 - SLACK) * COORDINATES)
 
     def compare(table: pa.Table) -> pa.Table:
         asks = np.asarray(table.column("asks").to_numpy(zero_copy_only=False), bool)
         rep, n, root = (table.column(c).to_numpy() for c in ("rep", "n", "root"))
-        sig = np.stack([np.frombuffer(s, np.uint16) for s in table.column("sig").to_pylist()])
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        marks = [np.frombuffer(m, np.uint16) for m in table.column("marks").to_pylist()]
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(left) or not len(right):
+            return pa.table({"a": rep[:0], "b": rep[:0]})
+        flat, sizes = np.concatenate([marks[j] for j in right]), n[right]
+        at = np.cumsum(sizes) - sizes
         band = table.column("band")[0].as_py()
         a, b = [rep[:0]], [rep[:0]]
         for i in left:
-            ok = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            same = sig[ok] == sig[i]
+            known = np.zeros(1 << 16, bool)
+            known[marks[i]] = True
+            # no less than the intersection: shingles whose mark the other set has too
+            most = np.minimum(np.add.reduceat(known[flat].astype(np.int64), at), n[i])
+            ok = (100 * most >= percent * (sizes + n[i] - most)) & (root[right] != root[i])
             # a pair that shares several bands is reported in the first one only
-            here = ~same.reshape(len(ok), BANDS, ROWS)[:, :band].all(axis=2).any(axis=1)
-            ok = ok[here & (same.sum(axis=1) >= least)]
-            a.append(np.minimum(rep[ok], rep[i]))
-            b.append(np.maximum(rep[ok], rep[i]))
+            ok &= ~(bands[right][:, :band] == bands[i, :band]).any(axis=1)
+            a.append(np.minimum(rep[right[ok]], rep[i]))
+            b.append(np.maximum(rep[right[ok]], rep[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return every.union(rest).groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
