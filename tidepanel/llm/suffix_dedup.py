@@ -187,23 +187,24 @@ def column_wise(data: np.ndarray, lengths: np.ndarray, cap: int = LENGTH) -> tup
     code[used] = np.arange(1, len(used) + 1)
     symbols = np.concatenate([[kind(0)], code[data]])  # symbols[i] is before position i
     ahead = np.where(lengths > 0, symbols[ends], 0).astype(kind)  # 0: the string is complete
-    string, left = np.arange(m), np.zeros(m, np.int64)
-    common = np.zeros(m, np.int64)
+    string, left = np.arange(m, dtype=np.int32), np.zeros(m, np.int16 if lengths.max(initial=0) < 1 << 15 else np.int64)
+    common = np.zeros(m, np.int16)
     front, done = np.arange(m), 0  # places of the suffixes inserted last
     while len(front):
         order = np.argsort(ahead, kind="stable")
         order = order[np.count_nonzero(ahead == 0) :]
-        place = np.full(len(ahead), -1)
-        place[order] = np.arange(len(order))
-        k = place[front]
-        k = np.sort(k[k >= 0])  # ranks of the new suffixes
+        latest = np.zeros(len(ahead), bool)
+        latest[front] = True
+        k = np.flatnonzero(latest[order])  # ranks of the new suffixes
         if not len(k):
             break
         done += 1
         own = order[k]
         which = string[own]
         # common prefixes of the new suffixes and of the old ones that come right after them
-        touched = np.unique(np.concatenate([k, k[k + 1 < len(order)] + 1]))
+        touched = np.zeros(len(order) + 1, bool)
+        touched[k] = touched[k + 1] = True
+        touched = np.flatnonzero(touched[:-1])
         prefix = _shared(order, ahead, common, touched)
         fresh = np.zeros(m + len(order), bool)
         fresh[m + k] = True
@@ -213,7 +214,7 @@ def column_wise(data: np.ndarray, lengths: np.ndarray, cap: int = LENGTH) -> tup
         ahead[fresh] = np.where(done < lengths[which], symbols[begin], 0)
         common[m + touched] = np.minimum(prefix, cap)
         front = m + k
-    return string, lengths[string] - left, common
+    return string.astype(np.int64), lengths[string] - left, common
 
 
 def _inserted(old: np.ndarray, fresh: np.ndarray) -> np.ndarray:
