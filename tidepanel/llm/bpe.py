@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.text import Texts, ragged, texts, word_array
 
 #: Bounds of the tables that a worker keeps; beyond them a table starts anew, results stay the same.
-CACHE_WORDS, CACHE_PAIRS = 200_000, 1 << 20
+CACHE_WORDS, CACHE_PAIRS = 100_000, 1 << 17
 
 # Fixed value: how byte-level BPE cuts texts before merging; \s by the Unicode property
 PATTERN = (
@@ -250,7 +250,7 @@ def encoding_digests(docs: DataFrame, content: bytes) -> DataFrame:
     def run(batches):
         bpe = loaded(sent.value)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for t in texts(batches, limit=4 << 20):
+        for t in texts(batches, limit=2 << 20):
             e = Encoded(bpe, t)
             written = [",".join(map(str, x.tolist())) for x in e.ids]
             flat = e.flat_ids().astype(np.int64)

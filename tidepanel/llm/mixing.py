@@ -35,17 +35,15 @@ class Domains:
     base: list[float]  # by domain: log prior and all words absent
     present: list[list[float]]  # by word and domain: change if the word is there
 
-    def posteriors(self, words: Column) -> Column:
-        """array<double>: probability of each domain, in the order of ``names``."""
-        total = F.array(*[F.lit(float(b)) for b in self.base])
-        if self.words:
-            vocabulary = F.array(*[F.lit(w) for w in self.words])
-            table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in self.present])
-            add = lambda acc, w: F.zip_with(acc, F.element_at(table, F.array_position(vocabulary, w).cast("int")), lambda x, y: x + y)
-            total = F.aggregate(F.array_intersect(words, vocabulary), total, add)
-        top = F.array_max(total)
-        powers = F.transform(total, lambda x: F.exp(x - top))
-        return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+    def logits(self, words: Column) -> Column:
+        """array<double>: unnormalised log probability of each domain, in the order of ``names``."""
+        base = F.array(*[F.lit(float(b)) for b in self.base])
+        if not self.words:
+            return base
+        vocabulary = F.array(*[F.lit(w) for w in self.words])
+        table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in self.present])
+        add = lambda acc, w: F.zip_with(acc, F.element_at(table, F.array_position(vocabulary, w).cast("int")), lambda x, y: x + y)
+        return F.aggregate(F.array_intersect(words, vocabulary), base, add)
 
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, names: list[str], fit_rows: int = FIT_ROWS, n_words: int = WORDS) -> Domains:
@@ -71,8 +69,12 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, names: list[str], fit_ro
 
 def with_posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     """``docs`` with ``_n`` (words of the text) and ``_p`` (posteriors)."""
-    words = docs.withColumn("_words", words_of(F.col("text")))
-    return words.withColumn("_n", F.size("_words").cast("double")).withColumn("_p", model.posteriors(F.col("_words"))).drop("_words")
+    # step by step: an expression that is used twice in one step would be computed twice
+    rows = docs.withColumn("_words", words_of(F.col("text")))
+    rows = rows.withColumns({"_n": F.size("_words").cast("double"), "_z": model.logits(F.col("_words"))}).drop("_words")
+    rows = rows.withColumn("_top", F.array_max("_z")).withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.col("_top"))))
+    rows = rows.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, y: a + y))
+    return rows.withColumn("_p", F.transform("_e", lambda x: x / F.col("_sum"))).drop("_z", "_top", "_e", "_sum")
 
 
 def rate(steps: list[list[float]], least: float) -> Column:

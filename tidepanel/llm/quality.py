@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Gam:
 
 
 def _features(batches):
-    for t in texts(batches, limit=(2 << 20) - 1):
+    for t in texts(batches, limit=(1 << 20) - 1):
         x = features(t)
         yield pa.RecordBatch.from_arrays([t.rows.column("y").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
@@ -209,7 +209,7 @@ def quality_scores(docs: DataFrame, model: Gam) -> DataFrame:
     """doc_id and score (0 to 1) of every row; empty and null texts are scored as empty ones."""
 
     def run(batches):
-        for t in texts(batches, limit=(2 << 20) - 1):
+        for t in texts(batches, limit=(1 << 20) - 1):
             yield pa.RecordBatch.from_arrays([t.rows.column("doc_id"), pa.array(model.score(features(t)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -219,7 +219,7 @@ def keep_good(docs: DataFrame, model: Gam, threshold: float = THRESHOLD) -> Data
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
 
     def run(batches):
-        for t in texts(batches, limit=(2 << 20) - 1):
+        for t in texts(batches, limit=(1 << 20) - 1):
             yield t.rows.filter(pa.array(model.score(features(t)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

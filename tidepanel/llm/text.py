@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -131,7 +131,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = -(-n // (1 << 18)) << 18
             self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (self.base, self.inverse))
 
     def sums(self, data: np.ndarray) -> np.ndarray:
