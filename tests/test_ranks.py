@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidepanel.functions.ranks import average_rank, quantiles, tie_order, value_bucket
+from tidepanel.functions.ranks import average_rank, dealt, quantiles, tie_order
 
 
 def data(spark):
@@ -28,10 +28,18 @@ def test_quantiles(spark):
             assert abs(out.loc[g, c] - np.quantile(part["x"], q)) < 1e-9
 
 
-def test_bucket_is_monotone(spark):
-    _, df = data(spark)
-    b = df.orderBy("x").select(value_bucket(F.col("x")).alias("b")).toPandas()["b"]
-    assert b.is_monotonic_increasing
+def test_parts_rise_with_crowded_values(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": rng.uniform(0.99, 1.01, 4000)}))
+    out = dealt(df, ["g"], "x").orderBy("x").toPandas()
+    assert out["_part"].is_monotonic_increasing
+    assert out["_part"].value_counts().max() < 4000 / 2
+
+
+def test_names_with_a_common_start(spark):
+    df = spark.range(20_000).selectExpr("'d' as g", "concat('STOCKNAME0', lpad(id, 6, '0')) as name", "id")
+    out = tie_order(df, ["g"], "name", "k")
+    assert out.filter("k <> id").count() == 0 and out.count() == 20_000
 
 
 def test_tie_order(spark):

@@ -175,7 +175,7 @@ from (select {group}, count(case when target_direction = 0 and pred_{model} = 0
   from ev where proba_{model} <> 0.5 and target_direction is not null group by {group}) c
 join (select {group}, sum(pos * (under + neg / cast(2 as double))) as wins, sum(pos) * sum(neg) as pairs
   from (select *, coalesce(sum(neg) over (partition by {group} order by s rows between unbounded preceding and 1 preceding), 0) as under
-    from (select {group}, round(proba_{model}, 6) as s, count(case when target_direction = 1 then 1 end) as pos, count(case when target_direction = 0 then 1 end) as neg
+    from (select {group}, proba_{model} as s, count(case when target_direction = 1 then 1 end) as pos, count(case when target_direction = 0 then 1 end) as neg
       from ev where proba_{model} <> 0.5 and target_direction is not null group by {group}, 2) a) b group by {group}) w using ({group})"""
 
 

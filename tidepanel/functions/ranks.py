@@ -1,9 +1,9 @@
 """Exact ranks and quantiles of large groups without sorting a group in one task.
 
-Equal values are first counted (a partial aggregate collapses ties before the shuffle), then
-ranked inside value buckets; only one count per bucket is accumulated over a whole group.  The
-bucket of a value grows with its fourth root, so its number is bounded by the range of the
-values, not by the number of rows.
+Equal values are first counted (a partial aggregate collapses ties before the shuffle), then dealt
+out by range over (group, value) and ranked within each part.  Ranges come from a sample of the
+values, so a crowded stretch is cut as often as its rows ask for; over a whole group only one count
+per part is accumulated.
 """
 
 from __future__ import annotations
@@ -14,32 +14,29 @@ from pyspark.sql import functions as F
 from tidepanel.functions.series import Series
 from tidepanel.functions.tables import materialise
 
-RESOLUTION = 4096
+def dealt(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Written table with ``_part``, which rises with ``value`` inside a group; equal values share one."""
+    df = df.repartitionByRange(*groups, value).withColumn("_part", F.spark_partition_id())
+    # the parts must be the same for the counts and for the rows, so they are written
+    return materialise(df, "dealt")
 
 
-def value_bucket(x: Column) -> Column:
-    """Monotone bucket of a double: every step is a correctly rounded operation."""
-    x = x.cast("double")
-    return F.floor(F.signum(x) * F.sqrt(F.sqrt(F.abs(x))) * RESOLUTION)
+def value_counts(df: DataFrame, groups: list[str], value: str, aggs: dict[str, Column] | None = None) -> DataFrame:
+    """One row per distinct value with its 0-based positions ``[lo, hi)`` in its group.
 
-
-def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """One row per distinct value with its 0-based positions ``[lo, hi)`` in its group."""
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_b", value_bucket(F.col(value)))
-    )
-    # read three times below; without this the input would be computed as often
-    counts = materialise(counts, "counts")
-    totals = counts.groupBy(*groups, "_b").agg(F.sum("n").alias("_bn"))
-    before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*groups, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
-    in_bucket = Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_cum", F.sum("n").over(in_bucket)).join(totals, [*groups, "_b"])
+    ``aggs`` adds further aggregates of the rows of each value.
+    """
+    aggs = aggs or {}
+    known = df.filter(F.col(value).isNotNull())
+    counts = known.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"), *[c.alias(o) for o, c in aggs.items()])
+    counts = dealt(counts, groups, value)
+    totals = counts.groupBy(*groups, "_part").agg(F.sum("n").alias("_bn"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*groups, "_part", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
+    in_part = Window.partitionBy(*groups, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_cum", F.sum("n").over(in_part)).join(totals, [*groups, "_part"])
     hi = F.col("_off") + F.col("_cum")
-    return ranked.select(*groups, value, "n", (hi - F.col("n")).alias("lo"), hi.alias("hi"))
+    return ranked.select(*groups, value, "n", (hi - F.col("n")).alias("lo"), hi.alias("hi"), *aggs)
 
 
 def average_rank(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
@@ -83,14 +80,11 @@ def series_quantiles(df: DataFrame, s: Series, value: str, qs: dict[str, float])
     return df.groupBy(*s.keys).agg(*[F.percentile(value, q).alias(o) for o, q in qs.items()])
 
 
-def tie_order(df: DataFrame, groups: list[str], name: str, out: str, prefix: int = 3) -> DataFrame:
-    """Add the position (from 0) of a string within ``groups``, in string order.
-
-    Strings are numbered within a common prefix; counts per prefix give the offsets.
-    """
-    df = df.withColumn("_pre", F.substring(name, 1, prefix))
-    counts = df.groupBy(*groups, "_pre").agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.partitionBy(*groups).orderBy("_pre").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_pre", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
-    local = df.withColumn("_i", F.row_number().over(Window.partitionBy(*groups, "_pre").orderBy(name)) - 1)
-    return local.join(offsets, [*groups, "_pre"]).withColumn(out, F.col("_off") + F.col("_i")).drop("_pre", "_off", "_i")
+def tie_order(df: DataFrame, groups: list[str], name: str, out: str) -> DataFrame:
+    """Add the position (from 0) of a string within ``groups``, in string order."""
+    df = dealt(df, groups, name)
+    counts = df.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*groups, "_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
+    local = df.withColumn("_i", F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(name)) - 1)
+    return local.join(offsets, [*groups, "_part"]).withColumn(out, F.col("_off") + F.col("_i")).drop("_part", "_off", "_i")

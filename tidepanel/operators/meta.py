@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.ranks import value_counts
 from tidepanel.functions.series import DAILY, EPS, Series, rolling, windowed
 from tidepanel.operators.returns import ANNUAL
 
@@ -40,7 +41,7 @@ def ensemble_hard(df: DataFrame, models: list[str], out: str = "Vote") -> DataFr
     return df.withColumn(f"pred_{out}", F.when(votes * 2 > len(models), 1).otherwise(0))
 
 
-@windowed(21)
+@windowed(lambda p: max(p["accuracy"], p["sharpe"], p["stability"], 20) + 1)
 def meta_features(
     df: DataFrame, model: str = "Ensemble", accuracy: int = 20, sharpe: int = 20, stability: int = 10, s: Series = DAILY
 ) -> DataFrame:
@@ -120,13 +121,16 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
-def classification_report(df: DataFrame, model: str, keys: tuple[str, ...] = (), digits: int = 6) -> DataFrame:
+def classification_report(df: DataFrame, model: str, keys: tuple[str, ...] = (), scored_only: bool = True) -> DataFrame:
     """Accuracy, precision, recall, F1, AUC and confusion counts of a model, per key.
 
-    The AUC comes from label counts per score rounded to ``digits``, which bounds that table.
+    The AUC is exact: it comes from the ranks of the positive rows, equal scores sharing theirs.
+    ``scored_only`` leaves out rows with the default probability, as out-of-sample columns of a
+    walk-forward run need it; the scores of a validation fold all count.
     """
     groups = list(keys) or ["model"]
-    rows = scored_rows(df, model).filter(F.col("target_direction").isNotNull() & F.col(f"pred_{model}").isNotNull())
+    rows = scored_rows(df, model) if scored_only else df
+    rows = rows.filter(F.col("target_direction").isNotNull() & F.col(f"pred_{model}").isNotNull())
     rows = rows.withColumn("model", F.lit(model)) if not keys else rows
     y, p = F.col("target_direction") == 1, F.col(f"pred_{model}") == 1
     counts = rows.groupBy(*groups).agg(
@@ -135,17 +139,13 @@ def classification_report(df: DataFrame, model: str, keys: tuple[str, ...] = (),
         F.count(F.when(y & ~p, 1)).alias("fn"),
         F.count(F.when(y & p, 1)).alias("tp"),
     )
-    by_score = rows.groupBy(*groups, F.round(f"proba_{model}", digits).alias("_s")).agg(
-        F.count(F.when(y, 1)).alias("_pos"), F.count(F.when(~y, 1)).alias("_neg")
-    )
-    below = Window.partitionBy(*groups).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    by_score = by_score.withColumn("_under", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
-    wins = by_score.groupBy(*groups).agg(
-        F.sum(F.col("_pos") * (F.col("_under") + F.col("_neg") / 2.0)).alias("_wins"),
-        (F.sum("_pos") * F.sum("_neg")).alias("_pairs"),
-    )
+    ranked = value_counts(rows, groups, f"proba_{model}", {"_pos": F.count(F.when(y, 1)), "_neg": F.count(F.when(~y, 1))})
+    # ranks from 1; of a positive row's rank, the part above its rank among positives are its wins
+    rank_sum = F.sum(F.col("_pos") * (F.col("lo") + (F.col("n") + 1) / 2.0))
+    pos, neg = F.sum("_pos"), F.sum("_neg")
+    wins = ranked.groupBy(*groups).agg((rank_sum - pos * (pos + 1) / 2.0).alias("_wins"), (pos * neg).alias("_pairs"))
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    return counts.join(wins, groups).select(
+    return counts.join(wins, groups, "left").select(
         *groups,
         ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
         _share(tp, tp + fp).alias("prec"),

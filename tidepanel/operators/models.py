@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.series import DAILY, Series
 from tidepanel.functions.tables import materialise
+from tidepanel.operators.assemble import impute_terminal
 from tidepanel.operators.meta import (
     META_FEATURES,
     NO_SCORE,
@@ -145,12 +146,13 @@ def walk_forward_predict(
     """
     learners = learners or default_learners()
     base = materialise(df, "model-input")
+    inputs = materialise(impute_terminal(base, list(features), s), "model-features")
     folds = _fold_rows(fold_table(index_walk_forward(base, train, test, gap_rows, s)))
     names = list(learners)
 
     def one(fold) -> DataFrame | None:
-        rows = _between(base, fold.train_start, fold.train_end).filter(F.col(LABEL).isNotNull())
-        rows = rows.fillna(0, subset=list(features)).withColumn("fold", F.lit(fold.fold))
+        rows = _between(inputs, fold.train_start, fold.train_end).filter(F.col(LABEL).isNotNull())
+        rows = rows.withColumn("fold", F.lit(fold.fold))
         scaler = materialise(fit_scaler(rows, list(features)), "scaler")
         fitted = vectors(apply_scaler(rows, scaler, list(features)), features).select("regime_trend_bullish", LABEL, "x")
         fitted = fitted.cache()
@@ -160,7 +162,7 @@ def walk_forward_predict(
             return None
         if save_to:
             save_models(base.sparkSession, save_to, fold.fold, models, features)
-        target = _between(base, fold.test_start, fold.test_end).fillna(0, subset=list(features))
+        target = _between(inputs, fold.test_start, fold.test_end)
         target = apply_scaler(target.withColumn("fold", F.lit(fold.fold)), scaler, list(features))
         keys = vectors(target, features).select(*s.keys, s.order, "regime_trend_bullish", "fold", "x")
         return materialise(score_by_regime(keys, models).drop("x", "regime_trend_bullish"), "scores")
@@ -199,7 +201,7 @@ def meta_walk_forward(
     base = materialise(df, "meta-input")
     folds = _fold_rows(fold_table(expanding_walk_forward(base, train, warmup, test, gap_rows, s)))
     names = list(META_FEATURES)
-    history = materialise(meta_features(base, model, s=s), "meta-history")
+    history = materialise(impute_terminal(meta_features(base, model, s=s), names, s), "meta-history")
 
     def one(fold) -> DataFrame | None:
         rows = scored_rows(_between(base, fold.train_start, fold.train_end), model)
@@ -214,7 +216,7 @@ def meta_walk_forward(
             return None
         scaler = materialise(fit_scaler(rows, names), "meta-scaler")
         fitted = logistic_regression(n).fit(vectors(apply_scaler(rows, scaler, names), names))
-        target = _between(history, fold.test_start, fold.test_end).fillna(0, subset=names)
+        target = _between(history, fold.test_start, fold.test_end)
         target = apply_scaler(target.withColumn("fold", F.lit(fold.fold)), scaler, names)
         scored = score(vectors(target, names).select(*s.keys, s.order, "x"), fitted, "gate")
         return scored.select(
@@ -239,8 +241,7 @@ def meta_walk_forward(
 
 
 def _cv_rows(df: DataFrame, features: Sequence[str], k: int, s: Series) -> DataFrame:
-    rows = df.filter(F.col(LABEL).isNotNull()).fillna(0, subset=list(features))
-    rows = time_series_cv(rows.select(*s.keys, s.order, LABEL, *features), k, s).withColumn("fold", F.lit(0))
+    rows = time_series_cv(_labelled(df, features, s), k, s).withColumn("fold", F.lit(0))
     scaled = apply_scaler(rows, fit_scaler(rows, list(features)), list(features))
     return materialise(vectors(scaled, features).select(*s.keys, s.order, LABEL, "cv_fold", "x"), "cv")
 
@@ -252,7 +253,7 @@ def _search(
         trial, fold = job
         model = fit(rows.filter(F.col("cv_fold") < fold), make(**trials[trial]))
         tested = score(rows.filter(F.col("cv_fold") == fold), model, "m")
-        report = classification_report(tested, "m").first()
+        report = classification_report(tested, "m", scored_only=False).first()
         value = getattr(report, metric) if report else None
         return trial, json.dumps(trials[trial], sort_keys=True), fold, value
 
@@ -362,7 +363,7 @@ def permutation_importance(
     spread = rows.withColumn("case", F.explode(cases))
     mixed = F.transform("a", lambda v, i: F.when(i == F.col("case"), F.get("z", i)).otherwise(v))
     scored = score(spread.withColumn("x", array_to_vector(mixed)).select("case", LABEL, "x"), model, "m")
-    aucs = classification_report(scored, "m", ("case",)).select("case", "auc")
+    aucs = classification_report(scored, "m", ("case",), scored_only=False).select("case", "auc")
     whole = F.broadcast(aucs.filter("case = -1").select(F.col("auc").alias("_whole"), F.lit(1).alias("_one")))
     name = F.get(F.array(*[F.lit(c) for c in features]), F.col("case"))
     out = aucs.filter("case >= 0").withColumn("_one", F.lit(1)).join(whole, "_one")
@@ -385,14 +386,16 @@ def save_models(
         side = "bull" if bull else "bear"
         where = f"{path}/models/model={name}/fold={fold}/side={side}"
         PipelineModel(stages=[model]).write().overwrite().save(where)
-        rows.append((name, int(fold), side, ",".join(features), where))
+        rows.append((name, side, ",".join(features), where))
     if rows:
-        meta = spark.createDataFrame(rows, "model string, fold int, side string, features string, path string")
-        meta.write.mode("append").parquet(f"{path}/metadata")
+        meta = spark.createDataFrame(rows, "model string, side string, features string, path string")
+        # a folder per fold: folds are saved at the same time, and a repeated one replaces its rows
+        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata/fold={int(fold)}")
 
 
 def list_models(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/metadata")
+    listed = spark.read.parquet(f"{path}/metadata")
+    return listed.select("model", F.col("fold").cast("int").alias("fold"), "side", "features", "path")
 
 
 def latest_models(spark: SparkSession, path: str) -> DataFrame:
@@ -417,18 +420,20 @@ def load_model(spark: SparkSession, path: str, model: str, side: str = "bull", f
 
 def _trained_report(train: DataFrame, test: DataFrame, features: Sequence[str], learner: Learner, label: str) -> DataFrame:
     names = list(features)
-    train, test = (d.fillna(0, subset=names).withColumn("fold", F.lit(0)) for d in (train, test))
+    train, test = (d.withColumn("fold", F.lit(0)) for d in (train, test))
     scaler = fit_scaler(train, names)
     fitted = vectors(apply_scaler(train, scaler, names), names).select(LABEL, "x").cache()
     model = fit(fitted, learner)
     fitted.unpersist()
     scored = score(vectors(apply_scaler(test, scaler, names), names).select(LABEL, "x"), model, "m")
-    report = classification_report(scored, "m").drop("model")
+    report = classification_report(scored, "m", scored_only=False).drop("model")
     return report.withColumn("label", F.lit(label)).withColumn("n_test", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
 
 
 def _labelled(df: DataFrame, features: Sequence[str], s: Series) -> DataFrame:
-    return df.filter(F.col(LABEL).isNotNull()).select(*s.keys, s.order, LABEL, *features)
+    """Labelled rows, gaps of the features filled forward within their series, then with 0."""
+    rows = df.filter(F.col(LABEL).isNotNull()).select(*s.keys, s.order, LABEL, *features)
+    return impute_terminal(rows, list(features), s)
 
 
 def time_stability(df: DataFrame, features: Sequence[str], learner: Learner | None = None, s: Series = DAILY) -> DataFrame:
