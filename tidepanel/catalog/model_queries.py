@@ -123,9 +123,9 @@ def _cvar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cvar_universe(spark: SparkSession, d: str) -> DataFrame:
-    """Fifty series with the active-set form that large universes take."""
+    """Fifty series: several rounds of the active sets."""
     bars = materialise(pnl.asset_returns(v.bars(spark, d, "bars50")), "bars50")
-    return cvar.cvar_weights(bars, group_assets=10)
+    return cvar.cvar_weights(bars)
 
 
 add("cvar_weights", "L4", _cvar, doubles="weight")

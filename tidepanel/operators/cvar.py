@@ -5,10 +5,10 @@ greatest of -y'Rw over tail weights y (sum 1, each at most 1/k, k the number of
 Minimising it is a bilinear saddle point over two capped simplices, solved here by the
 primal-dual method with restarts.
 
-A universe that fits one task is solved in one piece per rebalance date.  A larger one is solved
-by column generation: a small active set per date gives y, all assets are priced against y in one
-distributed pass, the cheapest join the active set, until the dual bound over all assets is met.
-No asset is left out, and no group holds more than the active set.
+Universes of every size are solved by column generation: a small active set per date gives y, all
+assets are priced against y in one distributed pass, the cheapest join the active set, until the
+dual bound over all assets is met.  No asset is left out, and no group holds more than the active
+set.  A date whose gap cannot be closed gets equal weights.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from tidepanel.functions.series import DAILY, Series, windowed
 from tidepanel.functions.tables import materialise
 from tidepanel.operators.splits import date_index
 
-GROUP_ASSETS = 2_000
 TOLERANCE = 1e-6
+#: Steps of the solver before a date counts as not solvable.
+STEPS = 60_000
 
 
 # ---------------------------------------------------------------------------------------------
@@ -103,9 +104,9 @@ def tail_size(dates: int, alpha: float) -> int:
 
 
 def minimise_tail(
-    returns: np.ndarray, alpha: float, total: float = 1.0, cap: float = 1.0, base: np.ndarray | None = None, steps: int = 6000
-) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, tail weights and tail loss for returns of shape (dates, assets)."""
+    returns: np.ndarray, alpha: float, total: float = 1.0, cap: float = 1.0, base: np.ndarray | None = None, steps: int = STEPS
+) -> tuple[np.ndarray, np.ndarray, float, bool]:
+    """Weights, tail weights, tail loss and whether its gap is closed, for returns of shape (dates, assets)."""
     dates, assets = returns.shape
     base = np.zeros(dates) if base is None else base
     k = tail_size(dates, alpha)
@@ -120,7 +121,7 @@ def minimise_tail(
 
     best_w, best, best_y, dual = w, loss(w), y, bound(y)
     if norm == 0.0:
-        return w, y, best
+        return w, y, best, True
     ratio, every = 1.0, 60
     tau, sigma = 0.95 / norm * ratio, 0.95 / norm / ratio
     w_sum, y_sum, n = np.zeros(assets), np.zeros(dates), 0
@@ -141,7 +142,7 @@ def minimise_tail(
             if i % (every * 4) == 0:
                 w, y = w_sum / n, y_sum / n
                 w_sum, y_sum, n = np.zeros(assets), np.zeros(dates), 0
-    return best_w, best_y, best
+    return best_w, best_y, best, best - dual <= TOLERANCE
 
 
 def _solve(alpha: float, total: float, cap: float):
@@ -149,13 +150,13 @@ def _solve(alpha: float, total: float, cap: float):
         returns = np.stack([np.asarray(r, dtype=float) for r in pdf["rets"]], axis=1)
         base = np.asarray(pdf["base"].iloc[0], dtype=float) if "base" in pdf and pdf["base"].iloc[0] is not None else None
         room = min(cap, total) if cap * returns.shape[1] >= total else total
-        w, y, value = minimise_tail(returns, alpha, total, room, base)
-        return pd.DataFrame({"m": pdf["m"], "ticker": pdf["ticker"], "w": w, "y": [y.tolist()] * len(w), "loss": value})
+        w, y, value, met = minimise_tail(returns, alpha, total, room, base)
+        return pd.DataFrame({"m": pdf["m"], "ticker": pdf["ticker"], "w": w, "y": [y.tolist()] * len(w), "loss": value, "met": met})
 
     return run
 
 
-_SOLVED = "m long, ticker string, w double, y array<double>, loss double"
+_SOLVED = "m long, ticker string, w double, y array<double>, loss double, met boolean"
 
 
 # ---------------------------------------------------------------------------------------------
@@ -170,12 +171,11 @@ def cvar_weights(
     high: float = 0.4,
     every: int = 20,
     least: int = 30,
-    group_assets: int = GROUP_ASSETS,
     s: Series = DAILY,
 ) -> DataFrame:
     """Optimised weights per rebalance number: (m, ticker, w).
 
-    Bounds that no weights can meet give equal weights.
+    Bounds that no weights can meet, and dates the solver does not finish, give equal weights.
     """
     windows = materialise(return_windows(bars, lookback, every, least, s), "windows")
     n = bars.select("ticker").distinct().count()
@@ -188,10 +188,12 @@ def cvar_weights(
         sums = sums.select("m", F.transform("c", lambda x: x["r"] * low).alias("base"))
         windows = materialise(windows.join(F.broadcast(sums), "m"), "windows")
     solve = _solve(alpha, total, cap)
-    if n <= group_assets:
-        out = _solved(windows, solve)
-        return out.select("m", "ticker", (F.col("w") + low).alias("w"))
-    return _generated(windows, solve, total, cap, low)
+    solved = _generated(windows, solve, total, cap)
+    # one row per rebalance date: bounded by the calendar
+    met = solved.groupBy("m").agg(F.bool_and("met").alias("_met"))
+    out = windows.select("m", "ticker").join(solved.select("m", "ticker", "w"), ["m", "ticker"], "left").join(F.broadcast(met), "m")
+    w = F.when(F.col("_met"), F.coalesce("w", F.lit(0.0)) + low).otherwise(1.0 / n)
+    return out.select("m", "ticker", w.alias("w"))
 
 
 def _solved(windows: DataFrame, solve) -> DataFrame:
@@ -202,7 +204,7 @@ def _solved(windows: DataFrame, solve) -> DataFrame:
     return windows.repartition(tasks, "m").groupBy("m").applyInPandas(solve, _SOLVED)
 
 
-def _generated(windows: DataFrame, solve, total: float, cap: float, low: float) -> DataFrame:
+def _generated(windows: DataFrame, solve, total: float, cap: float) -> DataFrame:
     """Column generation; every round adds assets to the dates whose dual bound is not met yet."""
     wanted = math.ceil(total / cap) + 1
     size = F.size("rets")
@@ -238,10 +240,7 @@ def _generated(windows: DataFrame, solve, total: float, cap: float, low: float)
             again = again.unionByName(solved.join(F.broadcast(grown), "m", "left_anti"))
         solved = materialise(again, "solved")
         duals = solved.groupBy("m").agg(F.first("y").alias("y"), F.first("loss").alias("loss"))
-    if low > 0.0:
-        out = windows.select("m", "ticker").join(solved.select("m", "ticker", "w"), ["m", "ticker"], "left")
-        return out.select("m", "ticker", (F.coalesce("w", F.lit(0.0)) + low).alias("w"))
-    return solved.select("m", "ticker", "w")
+    return solved
 
 
 def cvar_allocation(df: DataFrame, s: Series = DAILY, every: int = 20, least: int = 30, **params) -> DataFrame:
