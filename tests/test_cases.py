@@ -9,7 +9,7 @@ from conftest import closes, ordered, walk
 from pyspark.sql import functions as F
 
 from tidepanel.functions.series import Series
-from tidepanel.operators import allocate, assemble, clean, costs, cvar, ic, metrics, models, pnl, quality, risk, signals, splits
+from tidepanel.operators import allocate, assemble, clean, costs, cvar, ic, meta, metrics, models, pnl, quality, risk, signals, splits
 
 
 def test_signal_is_held_one_bar_later(spark):
@@ -157,10 +157,11 @@ def test_topk_takes_the_stronger_half(spark):
 def test_solver_closes_the_gap():
     rng = np.random.default_rng(2)
     r = rng.normal(0.0005, 0.02, (60, 8))
-    w, y, value = cvar.minimise_tail(r, 0.95, 1.0, 0.4)
+    w, y, value, met = cvar.minimise_tail(r, 0.95, 1.0, 0.4)
+    assert met
     assert abs(w.sum() - 1) < 1e-9 and w.min() >= 0 and w.max() <= 0.4 + 1e-12
     low = cvar._fill(-(r.T @ y), 1.0, 0.4)
-    assert 0 <= value - low < 1e-4
+    assert -1e-12 <= value - low <= cvar.TOLERANCE
     for _ in range(300):
         other = cvar._project(rng.dirichlet(np.ones(8)), 1.0, 0.4)
         assert value <= -np.sort(r @ other)[:3].mean() + 1e-9
@@ -173,7 +174,6 @@ def test_weights_and_active_sets(spark):
     sums = full.groupby("m")["w"].sum()
     np.testing.assert_allclose(sums, 1.0, atol=1e-9)
     assert full["w"].min() >= 0.01 - 1e-12 and full["w"].max() <= 0.4 + 1e-9
-    part = cvar.cvar_weights(bars, low=0.01, group_assets=2).toPandas()
     windows = {m: g.set_index("ticker")["rets"] for m, g in cvar.return_windows(bars).toPandas().groupby("m")}
 
     def loss(weights, m):
@@ -183,7 +183,63 @@ def test_weights_and_active_sets(spark):
 
     for m in windows:
         equal = full.assign(w=1 / 12)
-        assert abs(loss(full, m) - loss(part, m)) < 1e-5 and loss(full, m) <= loss(equal, m) + 1e-9
+        r = np.stack([np.asarray(x, float) for x in windows[m]], axis=1)
+        whole = cvar.minimise_tail(r, 0.95, 1.0 - 12 * 0.01, 0.39, r.sum(axis=1) * 0.01)
+        assert whole[3] and abs(loss(full, m) - whole[2]) < 1e-5 and loss(full, m) <= loss(equal, m) + 1e-9
+
+
+def test_unfinished_dates_give_equal_weights(spark, monkeypatch):
+    f = walk(tuple(f"t{i:02d}" for i in range(6)), 90, 9)
+    bars = pnl.asset_returns(spark.createDataFrame(f, "ticker string, dt date, open double, high double, low double, close double, volume double"))
+    solve = cvar.minimise_tail
+    monkeypatch.setattr(cvar, "_solve", lambda alpha, total, cap: _unfinished(solve, alpha, total, cap))
+    assert {round(r.w, 9) for r in cvar.cvar_weights(bars).collect()} == {round(1 / 6, 9)}
+
+
+def _unfinished(solve, alpha, total, cap):
+    def run(pdf):
+        r = np.stack([np.asarray(x, float) for x in pdf["rets"]], axis=1)
+        w, y, value, _ = solve(r, alpha, total, min(cap, total) if cap * r.shape[1] >= total else total)
+        return pd.DataFrame({"m": pdf["m"], "ticker": pdf["ticker"], "w": w, "y": [y.tolist()] * len(w), "loss": value, "met": False})
+
+    return run
+
+
+# --- classification ---------------------------------------------------------------------------
+
+
+def test_auc_is_exact_and_validation_rows_all_count(spark):
+    rows = [(1.0, 1.0, 0.5000001), (0.0, 1.0, 0.5000002), (0.0, 1.0, 0.7), (1.0, 0.0, 0.5)]
+    df = spark.createDataFrame(rows, "target_direction double, pred_m double, proba_m double")
+    out = meta.classification_report(df, "m").first()
+    assert out.auc == 0.0 and out.tp + out.tn + out.fp + out.fn == 3
+    out = meta.classification_report(df, "m", scored_only=False).first()
+    assert out.auc == 0.0 and out.tp + out.tn + out.fp + out.fn == 4
+    many = pd.DataFrame({"target_direction": [1.0, 0.0] * 50, "pred_m": 1.0, "proba_m": [i % 7 / 7 for i in range(100)]})
+    out = meta.classification_report(spark.createDataFrame(many), "m", scored_only=False).first()
+    pos, neg = (many.loc[many["target_direction"] == k, "proba_m"].to_numpy() for k in (1.0, 0.0))
+    want = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+    assert abs(out.auc - want) < 1e-12
+
+
+def test_folds_saved_at_once_are_all_listed(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(Vectors.dense([float(i)]), float(i % 3 > 0)) for i in range(30)], ["x", models.LABEL])
+    fitted = models.fit(rows, models.logistic_regression)
+    sides = {("L", True): fitted, ("L", False): fitted}
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: models.save_models(spark, str(tmp_path), k, sides, ["f"]), range(6)))
+    assert {(r.fold, r.side) for r in models.list_models(spark, str(tmp_path)).collect()} == {(k, b) for k in range(6) for b in ("bull", "bear")}
+    assert {r.fold for r in models.latest_models(spark, str(tmp_path)).collect()} == {5}
+
+
+def test_gaps_are_filled_forward_then_with_zero(spark):
+    rows = [("a", f"2024-01-0{i}", None if x is None else float(x), 1.0) for i, x in enumerate([None, 2, None, 4], 1)]
+    df = spark.createDataFrame(rows, "ticker string, dt string, f double, target_direction double").withColumn("dt", F.to_date("dt"))
+    assert [r.f for r in models._labelled(df, ["f"], models.DAILY).orderBy("dt").collect()] == [0.0, 2.0, 2.0, 4.0]
 
 
 def test_infeasible_bounds_give_equal_weights(spark):

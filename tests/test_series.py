@@ -7,7 +7,7 @@ from conftest import ordered, walk
 from pyspark.sql import functions as F
 
 from tidepanel.functions.series import Series, rolling, running, state_scan, transition
-from tidepanel.operators import indicators, regime, returns
+from tidepanel.operators import indicators, regime, returns, risk
 
 BLOCKS = Series(block=64, slot=50)
 
@@ -110,3 +110,25 @@ def test_intraday_series_are_cut_by_default(bars):
     assert Series().block_rows(stamped) > 0
     a = ordered(indicators.sma(bars, (20,)), "sma_20")["sma_20"]
     close_to(a, ordered(indicators.sma(stamped, (20,)), "sma_20")["sma_20"])
+
+
+@pytest.mark.parametrize(
+    "build",
+    [
+        lambda df, s: indicators.technical_all(df, windows=(5,), spans=(40, 1), bb=(90, 2.0), s=s),
+        lambda df, s: returns.returns_all(df, windows=(150,), span=3, s=s),
+        lambda df, s: risk.stop_loss(df.withColumns({"pnl": F.col("close") / 50 - 2, "position": F.lit(1.0)}), rows=30, s=s),
+    ],
+)
+def test_blocks_reach_back_as_far_as_the_arguments_ask(bars, build):
+    whole, cut = (build(bars, s) for s in (Series(), BLOCKS))
+    names = [c for c, kind in whole.dtypes if kind == "double"]
+    a, b = ordered(whole, *names), ordered(cut, *names)
+    for c in names:
+        close_to(a[c], b[c], 1e-6)
+
+
+def test_exponential_mean_of_short_spans(bars, frame):
+    out = ordered(indicators.ema(bars, spans=(1, 2)), "ema_1", "ema_2")
+    for span, c in ((1, "ema_1"), (2, "ema_2")):
+        close_to(out[c], by_ticker(frame, lambda g: g["close"].ewm(span=span, adjust=False, min_periods=span).mean()))

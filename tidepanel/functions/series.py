@@ -350,6 +350,8 @@ def span_decay(span: float) -> float:
 
 
 CHUNK = 512
+#: Natural logarithm of the largest weight in a chunk; doubles end at 709.
+WEIGHT_RANGE = 600.0
 
 
 def _lit(x: float) -> str:
@@ -360,18 +362,24 @@ def decayed_sums(df: DataFrame, s: Series, terms: dict[str, tuple[str, float]])
     """Add ``out_t = sum over i <= t of u_i * q**(t-i)`` for ``{out: (u, q)}``, NULL u as 0.
 
     A weighted prefix sum inside chunks of CHUNK rows plus the totals of the few preceding chunks
-    that still matter in double precision; all terms share one sort.
+    that still matter in double precision; all terms share one sort.  Small q make the chunks
+    shorter, so that no weight overflows; with q = 0 a term is its last value.
     """
+    alone = [f"coalesce({u}, 0.0d) as {o}" for o, (u, q) in terms.items() if q <= 0.0]
     original = [c for c in df.columns if c not in terms]
+    terms = {o: t for o, t in terms.items() if t[1] > 0.0}
+    if not terms:
+        return df.selectExpr(*[f"`{c}`" for c in original], *alone)
+    chunk = min([CHUNK, *(max(1, int(WEIGHT_RANGE / -math.log(q))) for _, q in terms.values())])
     keys = ", ".join(f"`{k}`" for k in s.keys)
     df = df.selectExpr("*", f"row_number() over {s.over()} - 1 as _at")
-    df = df.selectExpr("*", f"_at div {CHUNK} as _chunk", f"_at % {CHUNK} as _pos")
+    df = df.selectExpr("*", f"_at div {chunk} as _chunk", f"_at % {chunk} as _pos")
     df = df.selectExpr(
         "*", *[f"coalesce({u}, 0.0d) * power({_lit(q)}, -_pos) as _u_{o}" for o, (u, q) in terms.items()]
     )
     local = f"(partition by {keys}, _chunk order by `{s.order}` rows between unbounded preceding and current row)"
     df = df.selectExpr("*", *[f"sum(_u_{o}) over {local} as _l_{o}" for o in terms])
-    reach = {o: max(1, math.ceil(decay_rows(q) / CHUNK)) for o, (_, q) in terms.items()}
+    reach = {o: max(1, math.ceil(decay_rows(q) / chunk)) for o, (_, q) in terms.items()}
     df = df.selectExpr(
         "*",
         *[
@@ -383,9 +391,9 @@ def decayed_sums(df: DataFrame, s: Series, terms: dict[str, tuple[str, float]])
     )
     outs = []
     for o, (_, q) in terms.items():
-        carries = [f"coalesce(_k_{o}_{k}, 0.0d) * {_lit(q ** (CHUNK * k))}" for k in range(1, reach[o] + 1)]
+        carries = [f"coalesce(_k_{o}_{k}, 0.0d) * {_lit(q ** (chunk * k))}" for k in range(1, reach[o] + 1)]
         outs.append(f"({' + '.join([f'_l_{o}', *carries])}) * power({_lit(q)}, _pos) as {o}")
-    return df.selectExpr(*[f"`{c}`" for c in original], *outs)
+    return df.selectExpr(*[f"`{c}`" for c in original], *outs, *alone)
 
 
 def ewm_means(df: DataFrame, s: Series, specs: dict[str, tuple[str, float, int]]) -> DataFrame:

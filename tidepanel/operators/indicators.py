@@ -136,7 +136,14 @@ def atr(df: DataFrame, period: int = 14, s: Series = DAILY) -> DataFrame:
     return out.withColumn("atr_pct", F.col("atr") / (F.col("close") + EPS)).drop("_tr")
 
 
-@windowed(lambda p: max(max(p["windows"]), 1200))
+def _technical_back(p) -> int:
+    fast, slow, signal = p["macd_spans"]
+    smoothed = [*map(span_decay, p["spans"]), *(1.0 - 1.0 / p[n] for n in ("rsi_period", "atr_period"))]
+    macd_rows = max(decay_rows(span_decay(x)) for x in (fast, slow)) + decay_rows(span_decay(signal))
+    return max(*p["windows"], p["bb"][0], macd_rows, *map(decay_rows, smoothed)) + 1
+
+
+@windowed(_technical_back)
 def technical_all(
     df: DataFrame,
     windows=SMA_WINDOWS,

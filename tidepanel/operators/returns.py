@@ -28,6 +28,7 @@ RETURN_WINDOWS = (5, 10, 21, 63)
 VOL_WINDOWS = (5, 10, 20, 63)
 VOL_ADJ_WINDOWS = (5, 10, 20)
 ZSCORE_WINDOWS = (20, 60)
+VOLUME_WINDOW, OBV_WINDOW = 20, 63
 
 
 def log_ret(n: int, s: Series, price: str = "close") -> Column:
@@ -154,7 +155,12 @@ def return_zscore(df: DataFrame, windows=ZSCORE_WINDOWS, s: Series = DAILY) -> D
     return out.drop(*[f"_{m}_{w}" for w in windows for m in ("mean", "std")])
 
 
-@windowed(lambda p: max(decay_rows(span_decay(p["span"])), 128) + 1)
+def _returns_back(p) -> int:
+    frames = (*p["periods"], *p["lags"], *p["windows"], *p["vols"], *p["stats"], *VOL_ADJ_WINDOWS, *ZSCORE_WINDOWS, VOLUME_WINDOW, OBV_WINDOW)
+    return max(*frames, decay_rows(span_decay(p["span"]))) + 1
+
+
+@windowed(_returns_back)
 def _bounded_returns(
     df: DataFrame, periods, lags, windows, vols, span: int, stats, s: Series = DAILY
 ) -> DataFrame:
@@ -172,8 +178,8 @@ def _bounded_returns(
         {f"_sd_{n}": ("std", "log_ret_1d", n, n) for n in stds}
         | {f"_me_{n}": ("mean", "log_ret_1d", n, n) for n in {*ZSCORE_WINDOWS, *stats}}
         | {f"ret_skew_{n}d": ("skew", "log_ret_1d", n, n) for n in stats}
-        | {"_mv": ("mean", "volume", 20, 10)}
-        | {"_mo": ("mean", "obv", 63, 21), "_so": ("std", "obv", 63, 21)},
+        | {"_mv": ("mean", "volume", VOLUME_WINDOW, 10)}
+        | {"_mo": ("mean", "obv", OBV_WINDOW, 21), "_so": ("std", "obv", OBV_WINDOW, 21)},
     )
     one = F.col("log_ret_1d")
     df = df.withColumns(

@@ -44,7 +44,7 @@ def drawdown_guard(df: DataFrame, limit: float = -0.15, s: Series = DAILY) -> Da
     return df.withColumn("position", F.when(hit, F.col("position") * 0.5).otherwise(F.col("position"))).drop("_dd")
 
 
-@windowed(6)
+@windowed(lambda p: p["rows"] + 1)
 def stop_loss(df: DataFrame, limit: float = -0.05, rows: int = 5, s: Series = DAILY) -> DataFrame:
     """Flat after a bar whose trailing compounded return broke the limit."""
     df = df.withColumn("_g", F.col("pnl") + 1.0)
