@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.text import Texts, ragged, texts, word_array
 
 #: Bounds of the tables that a worker keeps; beyond them a table starts anew, results stay the same.
-CACHE_WORDS, CACHE_PAIRS = 100_000, 1 << 17
+CACHE_WORDS, CACHE_PAIRS = 100_000, 1 << 19
 
 # Fixed value: how byte-level BPE cuts texts before merging; \s by the Unicode property
 PATTERN = (
@@ -60,16 +60,27 @@ class Bpe:
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
         self.lengths = np.array([len(p) for p in parts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        # tokens that merging can reach, and of each the longest that begins it
+        # tokens that merging can reach, and of each the longest that begins it; -1 is none
         made = {bytes([b]) for b in range(256)} | {a + b for a, b in self.rank}
-        self.tokens = [t for t in self.id_of if t in made]
+        known = {t: i for t, i in self.id_of.items() if t in made}
+        # read backwards, the tokens that start at a place are those that end there, the longest first
         self.scan = ahocorasick.Automaton()
-        for t in self.tokens:
-            self.scan.add_word(t.decode("latin-1"), t)
+        for t, i in known.items():
+            self.scan.add_word(t[::-1].decode("latin-1"), i)
         self.scan.make_automaton()
-        known = set(self.tokens)
-        self.shorter = {t: next((t[:n] for n in range(len(t) - 1, 0, -1) if t[:n] in known), None) for t in self.tokens}
-        self.pair_fits: dict[tuple[bytes, bytes], bool] = {}
+        self.shorter = [-1] * size
+        for t, i in known.items():
+            self.shorter[i] = next((known[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in known), -1)
+        self.sizes = self.lengths.tolist()
+        self.known, self.first = known, size
+        # whether each token has one merge, after those that make its parts, as in any trained vocabulary
+        made_at: dict[bytes, int] = {}
+        self.ordered = True
+        for r, (x, y) in enumerate(self.rank):
+            self.ordered &= x + y not in made_at and all(len(z) == 1 or z in made_at for z in (x, y))
+            made_at[x + y] = r
+        self.edges: dict[tuple[int, bool], list | None] = {}
+        self.pair_fits: dict[int, bool] = {}
         self.word_ids: dict[bytes, np.ndarray] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -82,51 +93,97 @@ class Bpe:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def fits(self, a: bytes, b: bytes) -> bool:
-        """The table of compatible neighbours, filled as pairs occur."""
-        known = self.pair_fits.get((a, b))
-        if known is None:
+    def fits(self, a: int, b: int) -> bool:
+        """The table of compatible neighbours, filled as pairs occur; ``first`` stands before the first token.
+
+        A token alone is looked at too: its merge may be unreachable behind earlier ones.
+        """
+        key = a << 32 | b
+        fit = self.pair_fits.get(key)
+        if fit is None:
             if len(self.pair_fits) >= CACHE_PAIRS:
                 self.pair_fits.clear()
-            known = self.pair_fits[a, b] = self.merged(a + b) == [a, b]
-        return known
+            fit = self.pair_fits[key] = self.stay_apart(a, b) if self.ordered else self.merge_back(a, b)
+        return fit
+
+    def merge_back(self, a: int, b: int) -> bool:
+        """Compatibility by definition."""
+        parts = [self.bytes_of[i] for i in (a, b) if i != self.first]
+        return self.merged(b"".join(parts)) == parts
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Compatibility from what stands at the border of both tokens while each is merged.
+
+        A merge across the border needs two parts that are there at the same time: after both were made, before
+        either became part of something longer.  Of equal merges the left one goes first, hence the
+        border's goes before that of the right token, but not before that of the left one.
+        """
+        right = self.edge(b, False)
+        if right is None or a == self.first:
+            return right is not None
+        left = self.edge(a, True)
+        if left is None:
+            return False
+        for x, born_x, gone_x in left:
+            for y, born_y, gone_y in right:
+                r = self.rank.get((x, y))
+                if r is not None and born_x < r < gone_x and born_y < r <= gone_y:
+                    return False
+        return True
+
+    def edge(self, i: int, last: bool) -> list[tuple[bytes, int, int]] | None:
+        """Parts that stand last (or first) while the token's bytes are merged, each with the merges that make it and end it.
+
+        None if merging does not give the token back.
+        """
+        key = (i, last)
+        if key not in self.edges:
+            at = -1 if last else 0
+            data = self.bytes_of[i]
+            parts = [data[k : k + 1] for k in range(len(data))]
+            part, born, out = parts[at], -1, []
+            while len(parts) > 1:
+                rank, k = min((self.rank.get(pair, 1 << 60), k) for k, pair in enumerate(zip(parts, parts[1:])))
+                if rank == 1 << 60:
+                    break
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                if len(parts[at]) > len(part):
+                    out.append((part, born, rank))
+                    part, born = parts[at], rank
+            self.edges[key] = [*out, (part, born, 1 << 60)] if len(parts) == 1 else None
+        return self.edges[key]
 
     def encode_piece(self, data: bytes) -> list[int]:
         """Ids of one piece, within which any merge is allowed."""
-        if data in self.shorter and self.fits_alone(data):
-            return [self.id_of[data]]
-        longest: list[bytes | None] = [None] * (len(data) + 1)
-        for end, t in self.scan.iter(data.decode("latin-1")):
-            start = end - len(t) + 1
-            if longest[start] is None or len(longest[start]) < len(t):
-                longest[start] = t
-        dead = bytearray(len(data) + 1)
-        out: list[bytes] = []
-        at, token = 0, longest[0]
-        while at < len(data):
-            while token is not None:
-                end = at + len(token)
-                if not dead[end] and (self.fits(out[-1], token) if out else self.fits_alone(token)):
-                    break
-                token = self.shorter[token]
-            if token is not None:
+        whole = self.known.get(data)
+        if whole is not None and self.fits(self.first, whole):
+            return [whole]
+        found = list(self.scan.iter(data[::-1].decode("latin-1")))
+        found.reverse()
+        longest = dict(found)  # by the bytes that are left behind the first one; the last entry wins
+        sizes, shorter, fitting = self.sizes, self.shorter, self.pair_fits.get
+        dead = set()
+        out: list[int] = []
+        left, before, token = len(data), self.first, longest.get(len(data) - 1, -1)
+        while left:
+            while token >= 0:
+                if left - sizes[token] not in dead:
+                    fit = fitting(before << 32 | token)
+                    if fit or (fit is None and self.fits(before, token)):
+                        break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                at += len(token)
-                token = longest[at]
+                left -= sizes[token]
+                before, token = token, longest.get(left - 1, -1)
                 continue
             if not out:
                 raise ValueError("bytes that the vocabulary cannot express")
-            dead[at] = 1
+            dead.add(left)
             token = out.pop()
-            at -= len(token)
-        return [self.id_of[t] for t in out]
-
-    def fits_alone(self, t: bytes) -> bool:
-        """Whether merging gives the token itself; a merge may be unreachable behind earlier ones."""
-        known = self.pair_fits.get((t, b""))
-        if known is None:
-            known = self.pair_fits[t, b""] = self.merged(t) == [t]
-        return known
+            left += sizes[token]
+            before = out[-1] if out else self.first
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; added tokens that it spells out are single ids."""
