@@ -1,7 +1,9 @@
 """The operators against brute force on small tables with nulls, empty texts, ties and repeated rows."""
 
 import hashlib
+import json
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -106,6 +108,9 @@ def test_bpe_is_the_library(docs, rows):
     assert got == {i: library.encode(t or "", add_special_tokens=False).ids for i, t, *_ in rows}
     back = {r["doc_id"]: r["text"] for r in bpe.decode_documents(ids, content).collect()}
     assert back == {i: t or "" for i, t, *_ in rows}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    digests = {r["doc_id"]: tuple(r)[1:] for r in bpe.encoding_digests(docs, content).collect()}
+    assert digests == {i: (len(x), sha(",".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for i, x in got.items()}
 
 
 def test_lm_base_and_gain(docs, rows):
@@ -160,3 +165,42 @@ def test_mixing_meets_targets(spark):
 def test_pipeline_runs(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "ids"]
+
+
+def test_bpe_small_vocabularies():
+    """Pairs judged at their border, and encodings by backtracking, against merging by definition."""
+    ordered = 0
+    for seed in range(200):
+        r = random.Random(seed)
+        pool, merges = ["a", "b"], []
+        for _ in range(r.randint(1, 9)):
+            m = r.choice(pool), r.choice(pool)
+            if m not in merges:
+                merges.append(m)
+                pool += [m[0] + m[1]] * (m[0] + m[1] not in pool)
+        vocab = {c: i for i, c in enumerate(bpe.byte_of_char())}
+        for a, b in merges:
+            vocab.setdefault(a + b, len(vocab))
+        coder = bpe.Bpe(json.dumps({"model": {"vocab": vocab, "merges": [" ".join(m) for m in merges]}}).encode())
+        if not coder.ordered:
+            continue
+        ordered += 1
+        tokens = [vocab[t] for t in pool]
+        assert all(coder.stay_apart(i, j) == coder.merge_back(i, j) for i in [*tokens, coder.first] for j in tokens)
+        for _ in range(20):
+            data = bytes(r.choice(b"ab") for _ in range(r.randint(1, 14)))
+            assert [coder.bytes_of[i] for i in coder.encode_piece(data)] == coder.merged(data)
+    assert ordered > 50
+
+
+def test_bpe_word_table_turns_over(monkeypatch):
+    """A table of two words gives the same ids as a large one."""
+    content = queries.tokenizer_file(queries.VOCABULARY)
+    words = [f" word{i % 5}".encode() for i in range(40)]
+    whole = bpe.Bpe(content)
+    want = [whole.word(w) for w in words]
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 2)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 2)
+    coder = bpe.Bpe(content)
+    assert [coder.word(w) for w in words] == want
+    assert len(coder.word_ids) <= 2 and len(coder.older_ids) <= 2

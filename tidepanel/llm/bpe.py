@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.text import Texts, ragged, texts, word_array
 
-#: Bounds of the tables that a worker keeps; beyond them a table starts anew, results stay the same.
-CACHE_WORDS, CACHE_PAIRS = 100_000, 1 << 19
+#: Bounds of the tables that a worker keeps, for memory alone: results stay the same beyond them.
+CACHE_WORDS, CACHE_PAIRS = 400_000, 1 << 19
 
 # Fixed value: how byte-level BPE cuts texts before merging; \s by the Unicode property
 PATTERN = (
@@ -81,7 +82,10 @@ class Bpe:
             made_at[x + y] = r
         self.edges: dict[tuple[int, bool], list | None] = {}
         self.pair_fits: dict[int, bool] = {}
-        self.word_ids: dict[bytes, np.ndarray] = {}
+        self.names = list(map(str, range(size)))
+        # encodings of words as packed 32-bit ids: those of late, and those before
+        self.word_ids: dict[bytes, bytes] = {}
+        self.older_ids: dict[bytes, bytes] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """Merges by definition: the pair of lowest rank first, leftmost among equals.  For short byte strings."""
@@ -198,16 +202,23 @@ class Bpe:
     def _plain(self, text: str) -> list[int]:
         return [i for piece in self.cut.findall(text) for i in self.encode_piece(piece.encode())]
 
-    def word(self, data: bytes) -> np.ndarray:
+    def word(self, data: bytes) -> bytes:
+        """Packed ids of a stretch; words seen of late stay in the table, half of it goes at a time."""
         ids = self.word_ids.get(data)
         if ids is None:
-            if len(self.word_ids) >= CACHE_WORDS:
-                self.word_ids.clear()
-            ids = np.array(self.encode(data.decode()), np.int32)
+            ids = self.older_ids.get(data)
+            if ids is None:
+                ids = array("i", self.encode(data.decode())).tobytes()
             if len(data) <= 64:
+                if len(self.word_ids) >= CACHE_WORDS // 2:
+                    self.older_ids, self.word_ids = self.word_ids, {}
                 self.word_ids[data] = ids
         return ids
 
+    def written(self, ids: bytes) -> str:
+        """Packed ids in decimal, joined by commas."""
+        return ",".join([self.names[i] for i in memoryview(ids).cast("i")])
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a sequence of ids."""
         return self.flat[ragged(self.starts[ids], self.lengths[ids])]
@@ -253,9 +264,8 @@ class Encoded:
         self.first = np.searchsorted(starts, t.offsets)
         coded = word_array(t.data, starts, ends).dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False)
-        ids = [bpe.word(w) for w in coded.dictionary.to_pylist()]
-        self.ids = ids
-        self.sizes = np.array([len(x) for x in ids], np.int64)
+        self.ids = [bpe.word(w) for w in coded.dictionary.to_pylist()]
+        self.sizes = np.array([len(x) // 4 for x in self.ids], np.int64)
 
     def n_tokens(self) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(self.sizes[self.codes])]) if len(self.codes) else np.zeros(1, np.int64)
@@ -266,7 +276,7 @@ class Encoded:
             yield self.codes[a:b].tolist()
 
     def flat_ids(self) -> np.ndarray:
-        return np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
+        return np.frombuffer(b"".join(self.ids), np.int32)
 
 
 def encode_documents(docs: DataFrame, content: bytes) -> DataFrame:
@@ -277,8 +287,7 @@ def encode_documents(docs: DataFrame, content: bytes) -> DataFrame:
         bpe = loaded(sent.value)
         for t in texts(batches):
             e = Encoded(bpe, t)
-            empty = np.zeros(0, np.int32)
-            lists = [np.concatenate([e.ids[c] for c in own]) if own else empty for own in e.documents()]
+            lists = [np.frombuffer(b"".join([e.ids[c] for c in own]), np.int32) for own in e.documents()]
             yield pa.RecordBatch.from_arrays([t.rows.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -309,7 +318,7 @@ def encoding_digests(docs: DataFrame, content: bytes) -> DataFrame:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for t in texts(batches, limit=2 << 20):
             e = Encoded(bpe, t)
-            written = [",".join(map(str, x.tolist())) for x in e.ids]
+            written = [bpe.written(x) for x in e.ids]
             flat = e.flat_ids().astype(np.int64)
             data, ends = bpe.decode(flat).tobytes(), np.cumsum(bpe.lengths[flat])
             last = np.cumsum(e.sizes)
