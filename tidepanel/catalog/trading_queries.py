@@ -880,10 +880,12 @@ add(
     "lookahead_probe", "Q6", _probe, (with_("bars5"), "select ticker, dt from bars5 where false"),
 )
 add(
-    "return_invariants", "Q7", lambda s, d: quality.return_invariants(executed(s, d).filter(F.col("strategy") == "momentum")),
+    "return_invariants", "Q7", lambda s, d: quality.return_invariants(executed(s, d), by=("strategy",)),
     (with_("netted"), """
-select count(case when exec_cost <> 0 and not traded then 1 end) as cost_without_change, count(case when abs(position) > 1 + 1e-9 then 1 end) as position_beyond_one,
-  (select count(*) from (select dt from netted where strategy = 'momentum' group by dt having sum(abs(position)) > 1 + 1e-9) w) as weights_above_one
-from netted where strategy = 'momentum'"""),
-    keys="", ints="cost_without_change position_beyond_one weights_above_one",
+select b.*, w.weights_above_one
+from (select strategy, count(case when exec_cost <> 0 and not traded then 1 end) as cost_without_change,
+  count(case when abs(position) > 1 + 1e-9 then 1 end) as position_beyond_one from netted group by strategy) b
+join (select strategy, count(case when held > 1 + 1e-9 then 1 end) as weights_above_one
+  from (select strategy, dt, sum(abs(position)) as held from netted group by strategy, dt) h group by strategy) w on w.strategy = b.strategy"""),
+    keys="strategy", ints="cost_without_change position_beyond_one weights_above_one",
 )

@@ -90,12 +90,13 @@ def lookahead_probe(
     return before(bars).exceptAll(before(bent))
 
 
-def return_invariants(df: DataFrame) -> DataFrame:
-    """Violations: cost without a change, positions beyond 1, weights of a date above 1."""
-    bars = df.agg(
+def return_invariants(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Violations: cost without a change, positions beyond 1, weights of a date above 1; one row for each ``by``."""
+    df = df.withColumn("_one", F.lit(1))
+    bars = df.groupBy(*by, "_one").agg(
         F.count(F.when((F.col("exec_cost") != 0) & ~F.col("traded"), 1)).alias("cost_without_change"),
         F.count(F.when(F.abs("position") > 1.0 + 1e-9, 1)).alias("position_beyond_one"),
-    ).withColumn("_one", F.lit(1))
-    sums = df.groupBy("dt").agg(F.sum(F.abs("position")).alias("_w"))
-    dates = sums.agg(F.count(F.when(F.col("_w") > 1.0 + 1e-9, 1)).alias("weights_above_one")).withColumn("_one", F.lit(1))
-    return bars.join(dates, "_one").drop("_one")
+    )
+    sums = df.groupBy(*by, "_one", "dt").agg(F.sum(F.abs("position")).alias("_w"))
+    dates = sums.groupBy(*by, "_one").agg(F.count(F.when(F.col("_w") > 1.0 + 1e-9, 1)).alias("weights_above_one"))
+    return bars.join(dates, [*by, "_one"]).drop("_one")
