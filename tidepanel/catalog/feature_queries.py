@@ -377,7 +377,7 @@ select ticker, dt, close, coalesce(last_value(case when dayofyear(dt) % 9 <> 0 t
 from bars5 window w as (partition by ticker order by dt rows between unbounded preceding and current row)"""),
     doubles="close gap early",
 )
-DESCRIBED = ["sma_20", "zscore_50", "bb_pct_b", "realized_vol_20d", "ret_skew_10d", "market_regime"]
+DESCRIBED = [c.split(":")[0] for c in f"{TECH} {RETS} {REGIME_FLAGS} regime_volatility regime_trend_slope regime_drawdown".split()]
 
 
 def _described(b: DataFrame) -> DataFrame:
@@ -387,10 +387,11 @@ def _described(b: DataFrame) -> DataFrame:
 
 add(
     "describe_features", "F15", on_bars(_described),
-    (with_("feats"), " union all ".join(f"""
+    (f"{with_('feats', 'ewm')},\nwide as materialized ({_TECH_SQL})", " union all ".join(f"""
 select '{c}' as feature, count({c}) as n, avg({c}) as mean, stddev_samp({c}) as std, min({c}) as min, max({c}) as max,
-  quantile_cont({c}, 0.25) as q25, quantile_cont({c}, 0.5) as q50, quantile_cont({c}, 0.75) as q75 from feats""" for c in DESCRIBED)),
-    keys="feature", ints="n", doubles="mean std min max q25 q50 q75",
+  quantile_cont({c}, 0.25) as q25, quantile_cont({c}, 0.5) as q50, quantile_cont({c}, 0.75) as q75 from wide""" for c in DESCRIBED)),
+    # quartiles of decimal prices end in a 5 at the seventh digit
+    keys="feature", ints="n", doubles="mean std min max q25:8 q50:8 q75:8",
 )
 ALL_DOUBLES = (
     f"{OHLCV} portfolio_avg_return {MACRO_WIDE} {TECH} {RETS} regime_volatility regime_trend_slope regime_drawdown "
