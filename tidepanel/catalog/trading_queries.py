@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.catalog import views as v
@@ -868,16 +868,29 @@ from (select ticker, count(*) as n_dates, count(case when dt in (select dt from
 
 
 def _probe(spark: SparkSession, d: str) -> DataFrame:
+    """The full feature table, and a column of next closes that must be reported."""
+    bars, cut = v.bars(spark, d), "1996-01-01"
+    ahead = F.lead("close").over(Window.partitionBy("ticker").orderBy("dt"))
+
     def build(b: DataFrame) -> DataFrame:
-        return regime.regime_features(returns.returns_all(indicators.technical_all(b)))
+        return assemble.build_features(b, v.macro(spark, d), v.LABELS)
 
-    b = v.bars(spark, d)
-    columns = assemble.feature_columns(build(b.limit(0)))
-    return quality.lookahead_probe(build, b, "1996-01-01", columns).select("ticker", "dt")
+    columns = assemble.feature_columns(build(bars.limit(0)))
+    parts = {
+        "features": quality.lookahead_probe(build, bars, cut, columns),
+        "next_close": quality.lookahead_probe(lambda b: b.withColumn("next_close", ahead), bars, cut, ["next_close"]),
+    }
+    found = [df.select("ticker", "dt", F.lit(name).alias("source")) for name, df in parts.items()]
+    return found[0].unionByName(found[1])
 
 
 add(
-    "lookahead_probe", "Q6", _probe, (with_("bars5"), "select ticker, dt from bars5 where false"),
+    "lookahead_probe", "Q6", _probe,
+    (with_("bars5"), """
+select ticker, dt, 'next_close' as source
+from (select ticker, dt, lead(dt) over w as next_dt, lead(close) over w as next_close from bars5 window w as (partition by ticker order by dt)) n
+where dt < date '1996-01-01' and next_dt >= date '1996-01-01' and next_close <> 0"""),
+    keys="ticker dt source",
 )
 add(
     "return_invariants", "Q7", lambda s, d: quality.return_invariants(executed(s, d), by=("strategy",)),
