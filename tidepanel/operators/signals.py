@@ -22,12 +22,16 @@ class Strategy(Protocol):
 
 
 def apply_strategies(df: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Run several strategies on one table; the name becomes the key column ``strategy``."""
-    parts = [fn(df).withColumn("strategy", F.lit(name)) for name, fn in strategies.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Run several strategies in one pass of a table; the name becomes the key column ``strategy``.
+
+    Columns that a strategy adds besides its signal are not kept.
+    """
+    own = [c for c in df.columns if c not in ("signal", "strategy")]
+    for i, fn in enumerate(strategies.values()):
+        df = fn(df).withColumn(f"_sig_{i}", F.col("signal").cast("double")).drop("signal")
+    cells = [F.struct(F.lit(name).alias("strategy"), F.col(f"_sig_{i}").alias("signal")) for i, name in enumerate(strategies)]
+    rows = df.select(*own, F.explode(F.array(*cells)).alias("_c"))
+    return rows.select(*own, "_c.signal", "_c.strategy")
 
 
 def machine(known: Column, enter_long: Column, enter_short: Column, exit_long: Column, exit_short: Column) -> Column:

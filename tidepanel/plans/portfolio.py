@@ -23,6 +23,7 @@ from tidepanel.operators.pnl import (
     positions_from_signals,
 )
 from tidepanel.operators.risk import apply_risk
+from tidepanel.operators.signals import apply_strategies
 from tidepanel.operators.splits import assign_folds, calendar_walk_forward
 
 Signal = Callable[[DataFrame], DataFrame]
@@ -43,12 +44,7 @@ ALLOCATIONS: dict[str, Callable[[DataFrame, Series], DataFrame]] = {
 
 def strategy_panel(df: DataFrame, strategies: dict[str, Signal], keep: tuple[str, ...] = BAR_COLUMNS) -> DataFrame:
     """Run every strategy on one pass of the feature table: (strategy, ticker, dt, bar..., signal)."""
-    names = list(strategies)
-    for i, name in enumerate(names):
-        df = strategies[name](df).withColumn(f"_sig_{i}", F.col("signal").cast("double")).drop("signal")
-    cells = [F.struct(F.lit(n).alias("strategy"), F.col(f"_sig_{i}").alias("signal")) for i, n in enumerate(names)]
-    rows = df.select("ticker", "dt", *keep, F.explode(F.array(*cells)).alias("_c"))
-    return rows.select("_c.strategy", "ticker", "dt", *keep, "_c.signal")
+    return apply_strategies(df, strategies).select("strategy", "ticker", "dt", *keep, "signal")
 
 
 def hold(df: DataFrame) -> DataFrame:
