@@ -204,3 +204,24 @@ def test_bpe_word_table_turns_over(monkeypatch):
     coder = bpe.Bpe(content)
     assert [coder.word(w) for w in words] == want
     assert len(coder.word_ids) <= 2 and len(coder.older_ids) <= 2
+
+
+def test_repeated_bytes_of_periodic_texts(spark):
+    """Every period from 1 to 100, two to five times in a row, each in a text whose other bytes occur once."""
+    r = random.Random(3)
+    letters = "".join(map(chr, range(97, 123)))
+    word = lambda n: "".join(r.choices(letters, k=n))
+    texts = [word(r.randint(0, 70)) + word(p) * k + word(r.randint(0, 70)) for p in range(1, 101) for k in range(2, 6)]
+    texts += [word(20) + (word(50) + "\n") * 3 + word(20) for _ in range(100)]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(t[k : k + 100])
+        want[i] = sum(gone), hashlib.sha256("".join(x for x, g in zip(t, gone) if not g).encode()).hexdigest()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_removed"], x["kept_sha256"]) for x in suffix_dedup.repeated_bytes(df).collect()}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert not wrong, f"{len(wrong)} of {len(want)} texts"

@@ -89,10 +89,11 @@ def pieces(t: Texts) -> tuple[np.ndarray, ...]:
         start, last, doc = np.repeat(start, parts) + first, np.repeat(end, parts), np.repeat(doc, parts)
         end = np.minimum(start + PIECE_STRINGS, last)
     key = DIGEST.hashes(DIGEST.sums(t.data), start, end + LENGTH - 1)
-    # a piece can repeat a string only if its anchor occurs in it twice, within one string
+    # a piece can repeat a string only if its anchor occurs in it twice; every string holds the anchor among its
+    # LENGTH - GRAM + 1 grams, so two occurrences in a row lie at most that far apart (then one in each of two strings)
     wide = np.pad(~np.where(valid, low, 0), LENGTH - GRAM, constant_values=NONE)
     chosen = np.flatnonzero(grams == ~sliding_min(wide, LENGTH - GRAM + 1))
-    twice = np.flatnonzero((grams[chosen[1:]] == grams[chosen[:-1]]) & (np.diff(chosen) <= LENGTH - GRAM))
+    twice = np.flatnonzero((grams[chosen[1:]] == grams[chosen[:-1]]) & (np.diff(chosen) <= LENGTH - GRAM + 1))
     pair = np.append(chosen[1:][twice], n + LENGTH)
     inside = pair[np.searchsorted(chosen[:-1][twice], start)] < end + LENGTH - GRAM
     return low[start], key, doc, start - t.offsets[doc], end - start, inside
