@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidepanel.llm import bpe, exact_dedup, licenses, lm, minhash, mixing, quality, queries, suffix_dedup, topk
+from tidepanel.llm import bpe, chat, exact_dedup, licenses, lm, minhash, mixing, quality, queries, suffix_dedup, topk
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -225,3 +225,68 @@ def test_repeated_bytes_of_periodic_texts(spark):
     got = {x["doc_id"]: (x["n_removed"], x["kept_sha256"]) for x in suffix_dedup.repeated_bytes(df).collect()}
     wrong = [i for i in want if got[i] != want[i]]
     assert not wrong, f"{len(wrong)} of {len(want)} texts"
+
+
+TURNS = [
+    (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", None), (1, 3, "assistant", "one"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"),
+    (2, 2, "user", ""), (2, 3, "assistant", "two"), (3, 1, "assistant", "two"), (3, 0, None, None), (3, 0, None, None), (3, None, "user", "first"),
+    (7, 0, "user", "no answer"), (9, 0, "assistant", "three"), (9, 1, "user", "bye"), (None, 0, "user", "lost"), (12, 0, "assistant", None), (20, 0, "assistant", "one"),
+]
+
+
+def preference(a: list, b: list) -> tuple:
+    """prefix_turns, prompt, chosen, its spans, rejected, its spans, turn by turn."""
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    out = []
+    for part in (a[:n], a[n:], b[n:]):
+        text, spans = "", []
+        for role, said in part:
+            text += f"<|{role}|>\n"
+            spans += [(len(text), len(text) + len(said) + len("<|end|>\n"))] * (role == "assistant")
+            text += f"{said}<|end|>\n"
+        out += [text, spans]
+    return n, out[0], *out[2:]
+
+
+def by_conversation() -> dict:
+    key = lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or "")
+    return {c: [(r or "", x or "") for _, _, r, x in sorted((t for t in TURNS if t[0] == c), key=key)] for c in sorted({t[0] for t in TURNS if t[0] is not None})}
+
+
+def formatted(df) -> dict:
+    pairs = lambda spans: [tuple(s) for s in spans]
+    return {(r[0], r[1]): (r["prefix_turns"], r["prompt"], r["chosen"], pairs(r["chosen_spans"]), r["rejected"], pairs(r["rejected_spans"])) for r in df.collect()}
+
+
+def test_preferences_share_prefixes(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = by_conversation()
+    pairs = [(a, b) for a in whole for b in whole]
+    got = formatted(chat.format_preferences(turns, spark.createDataFrame([*pairs, (1, 99)], "chosen_id long, rejected_id long")))
+    assert got == {(a, b): preference(whole[a], whole[b]) for a, b in pairs}
+    assert got[1, 2][0] == 3 and got[1, 1][2] == "" == got[1, 1][4]
+
+
+def test_replaced_answers(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = by_conversation()
+    last = {c: max((i for i, (r, _) in enumerate(t) if r == "assistant"), default=None) for c, t in whole.items()}
+    some = [c for c in whole if last[c] is not None]
+    want = {}
+    for a, b in zip(some, some[1:] + some[:1]):
+        other = list(whole[a])
+        other[last[a]] = ("assistant", whole[b][last[b]][1])
+        want[a, b] = preference(whole[a], other)
+    assert formatted(chat.replaced_answers(turns)) == want and want[2, 3][2] == "" and 7 not in some
+    assert chat.replaced_answers(turns.filter("conv_id in (1, 7)")).count() == chat.replaced_answers(turns.limit(0)).count() == 0
+
+
+def test_replaced_answers_is_its_sql(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("create view conversations as select * from '/root/testdata/sf0.001/conversations.parquet'")
+    query = queries.QUERIES["op5_replaced_answers"]
+    got = [tuple(r) for r in query.run(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(db.execute(query.sql).fetchall())
+    assert got and all(r[2] > 0 and r[3] for r in got)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions.ranks import value_counts
+from tidepanel.functions.tables import materialise
+
 #: Marks around a turn.
 OPEN, SEP, CLOSE = "<|", "|>\n", "<|end|>\n"
 
@@ -90,3 +93,23 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     ids = turns.filter(F.col("conv_id").isNotNull()).select("conv_id").distinct()
     key = F.expr("conv_id - pmod(conv_id, 2)")
     return ids.groupBy(key.alias("chosen_id")).agg(F.count("*").alias("n")).filter("n = 2").select("chosen_id", (F.col("chosen_id") + 1).alias("rejected_id"))
+
+
+def replaced_answers(turns: DataFrame, role: str = "assistant") -> DataFrame:
+    """Each conversation against itself with another answer, formatted; all share a beginning up to that turn.
+
+    The last turn of ``role`` gets the text of the last such turn of the conversation with the next
+    greater conv_id that has one (rejected_id; after the last comes the first).  Turns after it stay.
+    Conversations without a turn of ``role`` are left out, and so is one that is the only one.
+    """
+    from_end = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), role)
+    whole = conversations(turns).withColumn("at", (F.size("turns") - from_end).cast("int")).filter(from_end > 0)
+    ranked = materialise(value_counts(whole.select("conv_id"), [], "conv_id").select("conv_id", "lo"), "ranks")
+    n = ranked.count()
+    after = ranked.select(F.col("conv_id").alias("rejected_id"), F.col("lo").alias("rank"))
+    pairs = ranked.select(F.col("conv_id").alias("chosen_id"), F.expr(f"(lo + 1) % {max(n, 1)}").alias("rank")).join(after, "rank")
+    own = whole.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a"), "at")
+    other = whole.select(F.col("conv_id").alias("rejected_id"), F.col("turns")[F.col("at")]["text"].alias("answer"))
+    both = pairs.filter("chosen_id <> rejected_id").join(own, "chosen_id").join(other, "rejected_id")
+    swap = lambda t, i: F.when(i == F.col("at"), F.struct(t["role"].alias("role"), F.col("answer").alias("text"))).otherwise(t)
+    return completions(both.withColumn("b", F.transform("a", swap)), role)

@@ -60,7 +60,14 @@ def op4(spark, sf_dir):
 
 def op5(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    out = chat.format_preferences(turns, chat.neighbour_pairs(turns))
+    return span_texts(chat.format_preferences(turns, chat.neighbour_pairs(turns)))
+
+
+def op5_answers(spark, sf_dir):
+    return span_texts(chat.replaced_answers(table(spark, sf_dir, "conversations")))
+
+
+def span_texts(out: DataFrame) -> DataFrame:
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
     return out.select("chosen_id", "rejected_id", "prefix_turns", "prompt", "chosen", spans("chosen_spans"), "rejected", spans("rejected_spans"))
 
@@ -127,6 +134,22 @@ select chosen_id, rejected_id, cast(prefix_turns as bigint) as prefix_turns,
 from s
 """
 
+#: Pairs that share a beginning; the formatting is that of OP5_SQL.
+OP5_ANSWERS_SQL = """
+with t as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), c as (
+    select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as turns from t group by conv_id
+), l as (
+    select *, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) as pos from c
+), o as (
+    select *, row_number() over (order by conv_id) as n, count(*) over () as total from l where pos is not null
+), p as (
+    select a.conv_id as chosen_id, b.conv_id as rejected_id, a.turns as a,
+        a.turns[1:a.pos - 1] || [{'role': 'assistant', 'text': b.turns[b.pos].text}] || a.turns[a.pos + 1:] as b
+    from o a join o b on b.n = a.n % a.total + 1 where a.total > 1
+""" + OP5_SQL[OP5_SQL.index("), k as (") :]
+
 OP8_SQL = """
 with v as (
     select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e, embedding is not null
@@ -149,6 +172,7 @@ QUERIES = {
     "op3_lm_scores": Query(op3),
     "op4_near_duplicates": Query(op4),
     "op5_preferences": Query(op5, OP5_SQL),
+    "op5_replaced_answers": Query(op5_answers, OP5_ANSWERS_SQL),
     "op6_quality": Query(op6),
     "op7_licenses": Query(op7),
     "op8_top_k": Query(op8, OP8_SQL),
