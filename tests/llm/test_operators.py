@@ -290,3 +290,25 @@ def test_replaced_answers_is_its_sql(spark):
     got = [tuple(r) for r in query.run(spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(db.execute(query.sql).fetchall())
     assert got and all(r[2] > 0 and r[3] for r in got)
+
+
+def test_licences_of_one_family(spark):
+    """Whole texts, and versions and families that differ in a word, get their own label only."""
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version 2 of the License, or later."
+    bodies = {f.stem: f.read_text() for f in licenses.WHOLE.glob("*.txt")}
+    assert {"mit", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "apache-2.0"} <= bodies.keys()
+    text = [
+        "This work is licensed under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 3",
+        gpl.format(""), gpl.format("Lesser ").replace("program", "library"), "Licensed under the Apache License, Version 1.1", "Licensed under CC BY-NC-ND 4.0", "Licensed under CC BY-NC 4.0",
+        "Licensed under CC BY-NC 4.0 or so. " + "other words " * 30 + "Licensed under CC BY-NC 4.0", bodies["mit"][bodies["mit"].index("THE SOFTWARE IS") :] + bodies["mit"][:300],
+    ]
+    df = spark.createDataFrame(list(enumerate([*text, *bodies.values()])), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    got = [set(rows[i]["labels"].split(",")) - {"", *rows[i]["base_labels"].split(",")} for i in range(len(text))]
+    assert got[:2] == [set(), {"gpl-3.0"}] and not got[4] and not got[5] and got[6] == {"cc-by-nc"}
+    assert "lgpl" not in got[2] and got[3] == {"lgpl"} and rows[2]["labels"] == "gpl" and {s["label"] for s in rows[2]["spans"] if s["cover"] >= 0.6} >= {"gpl"}
+    assert sum(s["label"] == "cc-by-nc" and s["cover"] == 1 for s in rows[7]["spans"]) == 2
+    assert any(s["label"] == "mit" and s["cover"] >= 0.6 for s in rows[8]["spans"])
+    for i, name in enumerate(bodies, len(text)):
+        same = {s for s in rows[i]["labels"].split(",") if s in bodies}
+        assert name in same and not same & {x for x in bodies if x != name and x[:3] in ("gpl", "lgp", "mpl", "gfd")}, (name, same)
