@@ -312,3 +312,11 @@ def test_licences_of_one_family(spark):
     for i, name in enumerate(bodies, len(text)):
         same = {s for s in rows[i]["labels"].split(",") if s in bodies}
         assert name in same and not same & {x for x in bodies if x != name and x[:3] in ("gpl", "lgp", "mpl", "gfd")}, (name, same)
+
+
+def test_rates_of_domains_hard_to_tell_apart(spark):
+    rows = spark.createDataFrame([(10.0, [0.48 + i / 5000, 0.52 - i / 5000]) for i in range(201)], "_n double, _p array<double>").coalesce(2)
+    _, want, got = mixing.fit_rates(rows, [0.505, 0.495], total=2010.0)
+    assert sum(abs(a - b) for a, b in zip(want, got)) <= mixing.TOLERANCE * 2010
+    with pytest.warns(UserWarning, match="targets missed"):
+        mixing.fit_rates(rows, [0.5, 0.5], total=1000.0, least=1.0)
