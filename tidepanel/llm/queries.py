@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, chat, exact_dedup, licenses, lm, minhash, mixing, quality, suffix_dedup, topk
+from tidepanel.llm import bpe, chat, exact_dedup, lexical, licenses, lm, merkle, minhash, mixing, quality, simhash, suffix_dedup, topk
 
 #: Shares of the tokens that the mix aims at.
 TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.17, "es": 0.13}
@@ -94,6 +94,18 @@ def op10(spark, sf_dir):
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11(spark, sf_dir):
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12(spark, sf_dir):
+    return merkle.tamper_evidence(table(spark, sf_dir, "documents"))
+
+
+def op13(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=3)
+
+
 OP1_SQL = """
 with d as (
     select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256
@@ -166,6 +178,79 @@ with v as (
 select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 10
 """
 
+OP11_SQL = r"""
+with t as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents where text is not null
+), d as (
+    select row_number() over () as r, doc_id, terms, len(terms) as n from t where len(terms) > 0
+), s as (
+    select count(*) as total, cast(sum(n) as bigint) as words from d
+), p as (
+    select r, term, count(*) as tf from (select r, unnest(terms) as term from d) group by r, term
+), f as (
+    select term, cast(floor(1000 * ln((2 * total + 2) / cast(2 * count(*) + 1 as double))) as bigint) as w from p, s group by term, total
+), m as (
+    select r, doc_id, 75 + (25 * n * total) // words as m from d, s
+), q as (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select item_id, min(text) as text from benchmark where item_id is not null group by item_id)
+), c as (
+    select item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+    from q join f using (term) join p using (term) join m using (r) group by item_id, r, doc_id
+), k as (
+    select *, row_number() over (partition by item_id order by score desc, doc_id, r) as n from c where score > 0 and doc_id is not null
+)
+select item_id, cast(n as integer) as rank, doc_id, score from k where n <= 20
+"""
+
+OP12_SQL = """
+with recursive d as materialized (
+    select row_number() over () as r, doc_id, cast(doc_id as varchar) as s, cast(n_chars as varchar) as c, cast(n_chars + 1 as varchar) as c1, source, lang, text,
+        coalesce('=' || lang, '-') as grp from documents
+), f as (
+    select r, s, doc_id, grp, coalesce(octet_length(encode(s)) || ':' || s, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+        || coalesce(octet_length(encode(lang)) || ':' || lang, '-') as head, c, c1, coalesce(octet_length(encode(text)) || ':' || text, '-') as tail from d
+), h as (
+    select r, doc_id, grp, sha256(head || coalesce(octet_length(encode(c)) || ':' || c, '-') || tail) as leaf,
+        sha256(head || coalesce(octet_length(encode(c1)) || ':' || c1, '-') || tail) as other,
+        coalesce(xor(list_reduce(list_transform(generate_series(1, length(s)), lambda i: cast(ord(s[i]) as bigint)), lambda a, x:
+            list_reduce(generate_series(1, 8), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)), xor(a, x)), cast(4294967295 as bigint)), 4294967295) % 7 = 0, false) as hit
+    from f
+), l as materialized (
+    select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by grp) as n from h
+), t as (
+    select grp, 0 as level, pos, leaf as h, n from l
+    union all
+    select grp, level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2 from t where n > 1 group by grp, level, pos // 2, n
+), nodes as materialized (select * from t),
+sub as materialized (
+    select grp, h as subroot, row_number() over (order by grp) - 1 as pos, count(*) over () as n from nodes where n = 1
+), u as (
+    select 0 as level, pos, subroot as h, n from sub
+    union all
+    select level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2 from u where n > 1 group by level, pos // 2, n
+), tops as materialized (select * from u),
+steps as (
+    select l.r, x.level, x.pos % 2 as odd, y.h from l join nodes x on x.grp = l.grp and x.pos = l.pos // (1 << x.level) and x.n > 1
+        left join nodes y on y.grp = x.grp and y.level = x.level and y.pos = xor(x.pos, 1)
+    union all
+    select l.r, 1000 + x.level, x.pos % 2 as odd, y.h from l join sub s on s.grp = l.grp join tops x on x.pos = s.pos // (1 << x.level) and x.n > 1
+        left join tops y on y.level = x.level and y.pos = xor(x.pos, 1)
+), way as materialized (
+    select *, row_number() over (partition by r order by level) as k from steps
+), fold as (
+    select r, 1 as k, case when hit then other else leaf end as h from l
+    union all
+    select o.r, o.k + 1, sha256(case when w.h is null then o.h when w.odd = 1 then w.h || o.h else o.h || w.h end) from fold o join way w on w.r = o.r and w.k = o.k
+), proof as (
+    select l.r, sha256(coalesce(string_agg(w.h, '' order by w.k), '')) as proof_sha256 from l left join way w on w.r = l.r group by l.r
+)
+select l.doc_id, l.leaf, s.subroot, g.h as root, p.proof_sha256, o.folded_root, o.folded_root = g.h as verified
+from l join sub s on s.grp = l.grp join proof p on p.r = l.r join (select r, arg_max(h, k) as folded_root from fold group by r) o on o.r = l.r
+join tops g on g.n = 1
+"""
+
 QUERIES = {
     "op1_exact_dedup": Query(op1, OP1_SQL),
     "op2_mixing": Query(op2),
@@ -178,4 +263,7 @@ QUERIES = {
     "op8_top_k": Query(op8, OP8_SQL),
     "op9_bpe": Query(op9),
     "op10_suffix_dedup": Query(op10),
+    "op11_lexical_search": Query(op11, OP11_SQL),
+    "op12_merkle_manifest": Query(op12, OP12_SQL),
+    "op13_simhash": Query(op13),
 }
