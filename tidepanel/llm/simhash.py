@@ -244,7 +244,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     roots = materialise(components(found), "roots")
     facts = classes.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left")
     facts = materialise(facts.select("fingerprint", "rep", "rows", "root"), "facts")
-    whole = facts.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
-    facts = facts.join(whole, "root", "left").select("fingerprint", "rows", F.coalesce("least", "rep").alias("component_id"))
+    linked = facts.filter("root is not null")
+    whole = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("own"))
+    linked = join_hot(linked, whole, "root", "own", total["n"])
+    alone = facts.filter("root is null").withColumn("component_id", F.col("rep"))
+    facts = linked.select("fingerprint", "rows", "component_id").unionByName(alone.select("fingerprint", "rows", "component_id"))
+    facts = materialise(facts, "facts")
     out = join_hot(marked, facts, "fingerprint", "rows", total["rows"] or 0)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
