@@ -69,7 +69,7 @@ def ranked(rows, items, k):
 ITEMS = [(1, "w1 w2 w2 Wört0"), (2, None), (3, "nothing known"), (4, " ".join(f"w{i}" for i in range(60)) + " one Two"), (4, "w7 w9"), (None, "w1"), (5, ""), (6, "x X a C")]
 
 
-@pytest.mark.parametrize("postings, held, queries", [(2_000_000, 32 << 20, 512), (50, 1, 2)])
+@pytest.mark.parametrize("postings, held, queries", [(1_000_000, 32 << 20, 512), (50, 1, 2)])
 def test_lexical_search(spark, docs, rows, monkeypatch, postings, held, queries):
     monkeypatch.setattr(lexical, "QUERY_ROWS", queries)
     monkeypatch.setattr(lexical, "SHARD_POSTINGS", postings)

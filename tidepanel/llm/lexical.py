@@ -27,7 +27,7 @@ from tidepanel.functions.tables import new_path
 from tidepanel.llm.text import ALNUM_WORD, Texts, ragged, texts, word_array
 
 #: Postings after which a shard is closed, queries answered in one pass, bytes of strata ordered at a time.
-SHARD_POSTINGS, QUERY_ROWS, STRATA_BYTES = 2_000_000, 512, 32 << 20
+SHARD_POSTINGS, QUERY_ROWS, STRATA_BYTES = 1_000_000, 512, 32 << 20
 # The normaliser and the saturation of the score
 FLAT, SLOPE, SCALE, SATURATION = 75, 25, 1_000_000_000, 12
 NO_ID = np.iinfo(np.int64).min
@@ -114,11 +114,15 @@ class Shard:
         """A row per normaliser: per term its runs of equal tf, from the largest, and each run's documents."""
         ids, n = np.concatenate(self.ids), np.concatenate(self.n)
         key, tf = (np.concatenate(x) for x in zip(*self.parts))
-        place, code = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+        self.parts = []
+        place, code = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+        del key
         m = normaliser(n, *self.total)
         levels, stratum = np.unique(m, return_inverse=True)
+        stratum = stratum.astype(np.int32)
         order = np.lexsort((place, -tf, code, stratum[place]))
         place, code, tf = place[order], code[order], tf[order]
+        del order
         of = stratum[place]
         # documents in order of stratum; a posting names its document by the place in the stratum
         docs = np.argsort(stratum, kind="stable")
@@ -208,32 +212,34 @@ def document_counts(strata: DataFrame, terms: list[str]) -> dict[str, int]:
 
 
 class Stratum:
-    """One row of the index, as far as the queries' terms go."""
+    """One row of the index: copies of the postings of the queries' terms only, so that the row itself can go."""
 
     def __init__(self, row: dict, vocabulary: pa.Array):
-        self.m = row["m"].as_py()
-        ids = row["doc_ids"].values
-        self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        m = row["m"].as_py()
+        self.ids = row["doc_ids"].values.fill_null(NO_ID).to_numpy(zero_copy_only=False).copy()
         which = pc.index_in(row["terms"].values, value_set=vocabulary)
-        self.term = np.full(len(vocabulary), -1)
         own = np.flatnonzero(which.is_valid().to_numpy(zero_copy_only=False))
-        self.term[which.drop_null().to_numpy()] = own
-        self.df = row["df"].values.to_numpy().astype(np.int64)
-        self.start = np.cumsum(self.df) - self.df
-        runs = row["runs"].values.to_numpy()
+        self.term = np.full(len(vocabulary), -1, np.int32)
+        self.term[which.drop_null().to_numpy()] = np.arange(len(own))
+        df, runs, tfs, sizes, places = (row[c].values.to_numpy() for c in ("df", "runs", "tfs", "sizes", "places"))
+        first, first_run = np.cumsum(df) - df, np.cumsum(runs) - runs
+        of_run = ragged(first_run[own], runs[own])
         # once per tf of the stratum
-        tfs, back = np.unique(row["tfs"].values.to_numpy().astype(np.int64), return_inverse=True)
-        self.impacts = impact(tfs, self.m)[back]
-        self.sizes = row["sizes"].values.to_numpy()
-        self.places = row["places"].values.to_numpy()
-        top = np.zeros(len(vocabulary), np.int64)
-        top[self.term >= 0] = self.impacts[(np.cumsum(runs) - runs)[self.term[self.term >= 0]]]
-        self.top = top
-        self.each: np.ndarray | None = None
+        levels, back = np.unique(tfs[of_run].astype(np.int64), return_inverse=True)
+        impacts = impact(levels, m)[back]
+        self.each = np.repeat(impacts, sizes[of_run])
+        self.df = df[own].astype(np.int64)
+        self.start = np.cumsum(self.df) - self.df
+        self.places = places[ragged(first[own], self.df)]
+        # the largest tf of a term comes first
+        self.top = np.zeros(len(vocabulary), np.int64)
+        self.top[self.term >= 0] = impacts[np.cumsum(runs[own]) - runs[own]][self.term[self.term >= 0]]
+
+    def __len__(self) -> int:
+        """Bytes held."""
+        return sum(x.nbytes for x in (self.ids, self.term, self.each, self.df, self.start, self.places, self.top))
 
     def scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        if self.each is None:
-            self.each = np.repeat(self.impacts, self.sizes)
         held = self.term[terms] >= 0
         at, weights = self.term[terms][held], weights[held]
         rows = ragged(self.start[at], self.df[at])
@@ -320,7 +326,7 @@ def _block(index: Index, queries: list[tuple], k: int, kind) -> DataFrame | None
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 held.append(Stratum({c: row.column(c)[0] for c in row.schema.names}, words))
-                size += 16 * (len(held[-1].places) + len(words))
+                size += len(held[-1])
                 if size > STRATA_BYTES:
                     visit(held, starts, terms, weights, best)
                     held, size = [], 0
