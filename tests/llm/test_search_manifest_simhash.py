@@ -98,7 +98,7 @@ def test_lexical_bounds_hold():
     for t in texts(iter([batch])):
         shard.add(t)
     strata = shard.strata()
-    words = pa.array(["w1", "w2", "wört0", "absent"])
+    words = pa.array([w.encode() for w in ("w1", "w2", "wört0", "absent")], pa.large_binary())
     for i in range(strata.num_rows):
         s = lexical.Stratum({c: strata.column(c)[i] for c in strata.schema.names}, words)
         weights = np.array([5, 3, 2, 9])

@@ -27,12 +27,36 @@ from tidepanel.functions.tables import new_path
 from tidepanel.llm.text import ALNUM_WORD, Texts, ragged, texts, word_array
 
 #: Postings after which a shard is closed, queries answered in one pass, bytes of strata ordered at a time.
-SHARD_POSTINGS, QUERY_ROWS, STRATA_BYTES = 1_000_000, 512, 32 << 20
+SHARD_POSTINGS, QUERY_ROWS, STRATA_BYTES = 1_000_000, 512, 16 << 20
 # The normaliser and the saturation of the score
 FLAT, SLOPE, SCALE, SATURATION = 75, 25, 1_000_000_000, 12
 NO_ID = np.iinfo(np.int64).min
 
-SCHEMA = "m long, doc_ids array<long>, terms array<string>, df array<int>, runs array<int>, tfs array<int>, sizes array<int>, places array<int>"
+#: A row of the index: numbers are packed in the fewest bytes each; ``letters`` are the terms one after another.
+SCHEMA = "m long, doc_ids binary, letters binary, lengths binary, df binary, runs binary, tfs binary, sizes binary, places binary"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 in 1, 2, 4 or 8 bytes each; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def unpacked(cell: pa.Scalar) -> np.ndarray:
+    data = np.frombuffer(cell.as_buffer(), np.uint8)
+    return np.frombuffer(data[1:].tobytes(), f"<u{data[0]}").astype(np.int64)
+
+
+def term_array(letters: pa.Scalar, lengths: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), letters.as_buffer()])
+
+
+def sliced(batches):
+    """Fewer rows at a time, so that copies of a batch stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
 
 
 def normaliser(n: np.ndarray, documents: int, words: int) -> np.ndarray:
@@ -74,7 +98,7 @@ def lengths(docs: DataFrame) -> tuple[int, int]:
 
     def run(batches):
         documents = words = 0
-        for t in texts(batches):
+        for t in texts(sliced(batches)):
             low = t.lowered()
             starts, _ = low.words(ALNUM_WORD)
             documents += int((np.diff(np.searchsorted(starts, low.offsets)) > 0).sum())
@@ -132,25 +156,30 @@ class Shard:
         new_term = np.concatenate([[True], (code[1:] != code[:-1]) | (of[1:] != of[:-1])])
         new_run = new_term | np.concatenate([[True], tf[1:] != tf[:-1]])
         terms, runs = np.flatnonzero(new_term), np.flatnonzero(new_run)
-        words = pa.array(list(self.codes), pa.binary()).cast(pa.string())
+        df, runs_of = np.diff(np.append(terms, len(tf))), np.diff(np.append(np.searchsorted(runs, terms), len(runs)))
+        sizes = np.diff(np.append(runs, len(tf)))
+        words = pa.array(list(self.codes), pa.large_binary()).take(pa.array(code[terms]))
+        lengths = pc.binary_length(words).to_numpy()
+        letters = words.buffers()[2].to_pybytes() if len(words) else b""
+        upto = np.concatenate([[0], np.cumsum(lengths)])
         cuts = np.arange(len(levels) + 1)
         by_term, by_run, by_row = (np.searchsorted(x, cuts) for x in (of[terms], of[runs], of))
 
-        def lists(offsets, values):
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        def cells(values, by):
+            return pa.array([packed(values[x:y]) for x, y in zip(by, by[1:])], pa.binary())
 
-        ints = lambda x: pa.array(x, pa.int32())
         columns = [
             pa.array(levels),
-            lists(at, pa.array(ids[docs], mask=ids[docs] == NO_ID)),
-            lists(by_term, words.take(pa.array(code[terms]))),
-            lists(by_term, ints(np.diff(np.append(terms, len(tf))))),
-            lists(by_term, ints(np.diff(np.append(np.searchsorted(runs, terms), len(runs))))),
-            lists(by_run, ints(tf[runs])),
-            lists(by_run, ints(np.diff(np.append(runs, len(tf))))),
-            lists(by_row, ints(local[place])),
+            pa.array([ids[docs[x:y]].tobytes() for x, y in zip(at, at[1:])], pa.binary()),
+            pa.array([letters[upto[x] : upto[y]] for x, y in zip(by_term, by_term[1:])], pa.binary()),
+            cells(lengths, by_term),
+            cells(df, by_term),
+            cells(runs_of, by_term),
+            cells(tf[runs], by_run),
+            cells(sizes, by_run),
+            cells(local[place], by_row),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["m", "doc_ids", "terms", "df", "runs", "tfs", "sizes", "places"])
+        return pa.RecordBatch.from_arrays(columns, ["m", "doc_ids", "letters", "lengths", "df", "runs", "tfs", "sizes", "places"])
 
 
 def build(docs: DataFrame, path: str | None = None) -> Index:
@@ -161,18 +190,15 @@ def build(docs: DataFrame, path: str | None = None) -> Index:
 
     def run(batches):
         shard = Shard(documents, words)
-        for t in texts(batches):
+        for t in texts(sliced(batches)):
             shard.add(t)
             if shard.postings >= SHARD_POSTINGS:
-                yield from rows(shard)
+                yield shard.strata()
                 shard = Shard(documents, words)
         if shard.postings:
-            yield from rows(shard)
-
-    def rows(shard):
-        batch = shard.strata()
-        for at in range(0, batch.num_rows, 16):
-            yield batch.slice(at, 16)
+            yield shard.strata()
+        del shard
+        pa.default_memory_pool().release_unused()
 
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA).write.parquet(f"{path}/strata")
     spark.createDataFrame([(documents, words)], "documents long, words long").write.parquet(f"{path}/facts")
@@ -195,19 +221,20 @@ def terms_of(text: str) -> Counter:
 
 def document_counts(strata: DataFrame, terms: list[str]) -> dict[str, int]:
     """Documents that hold each of ``terms``, a bounded number of them."""
-    sent = strata.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
+    sent = strata.sparkSession.sparkContext.broadcast(pa.array([t.encode() for t in terms], pa.large_binary()))
 
     def run(batches):
         total = np.zeros(len(sent.value), np.int64)
         for batch in batches:
-            which = pc.index_in(batch.column(0).flatten(), value_set=sent.value)
-            known = which.is_valid().to_numpy(zero_copy_only=False)
-            df = batch.column(1).flatten().to_numpy(zero_copy_only=False)[known]
-            total += np.bincount(which.drop_null().to_numpy(), weights=df, minlength=len(total)).astype(np.int64)
+            for letters, lengths, df in zip(*batch.columns):
+                which = pc.index_in(term_array(letters, unpacked(lengths)), value_set=sent.value)
+                known = which.is_valid().to_numpy(zero_copy_only=False)
+                # a term stands once in a stratum
+                total[which.drop_null().to_numpy()] += unpacked(df)[known]
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["term", "df"])
 
-    counted = strata.select("terms", "df").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = strata.select("letters", "lengths", "df").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     return {terms[r["term"]]: r["df"] for r in counted.collect()}
 
 
@@ -216,21 +243,21 @@ class Stratum:
 
     def __init__(self, row: dict, vocabulary: pa.Array):
         m = row["m"].as_py()
-        self.ids = row["doc_ids"].values.fill_null(NO_ID).to_numpy(zero_copy_only=False).copy()
-        which = pc.index_in(row["terms"].values, value_set=vocabulary)
+        self.ids = np.frombuffer(row["doc_ids"].as_buffer(), np.int64).copy()
+        which = pc.index_in(term_array(row["letters"], unpacked(row["lengths"])), value_set=vocabulary)
         own = np.flatnonzero(which.is_valid().to_numpy(zero_copy_only=False))
         self.term = np.full(len(vocabulary), -1, np.int32)
         self.term[which.drop_null().to_numpy()] = np.arange(len(own))
-        df, runs, tfs, sizes, places = (row[c].values.to_numpy() for c in ("df", "runs", "tfs", "sizes", "places"))
+        df, runs, tfs, sizes, places = (unpacked(row[c]) for c in ("df", "runs", "tfs", "sizes", "places"))
         first, first_run = np.cumsum(df) - df, np.cumsum(runs) - runs
         of_run = ragged(first_run[own], runs[own])
         # once per tf of the stratum
-        levels, back = np.unique(tfs[of_run].astype(np.int64), return_inverse=True)
+        levels, back = np.unique(tfs[of_run], return_inverse=True)
         impacts = impact(levels, m)[back]
         self.each = np.repeat(impacts, sizes[of_run])
-        self.df = df[own].astype(np.int64)
+        self.df = df[own]
         self.start = np.cumsum(self.df) - self.df
-        self.places = places[ragged(first[own], self.df)]
+        self.places = places[ragged(first[own], self.df)].astype(np.int32)
         # the largest tf of a term comes first
         self.top = np.zeros(len(vocabulary), np.int64)
         self.top[self.term >= 0] = impacts[np.cumsum(runs[own]) - runs[own]][self.term[self.term >= 0]]
@@ -316,7 +343,7 @@ def _block(index: Index, queries: list[tuple], k: int, kind) -> DataFrame | None
         return None
     starts = np.cumsum([0, *[len(pairs) for _, pairs in known]])
     flat = np.array([p for _, pairs in known for p in pairs], np.int64)
-    sent = spark.sparkContext.broadcast((pa.array(vocabulary, pa.string()), starts, flat[:, 0].copy(), flat[:, 1].copy()))
+    sent = spark.sparkContext.broadcast((pa.array([t.encode() for t in vocabulary], pa.large_binary()), starts, flat[:, 0].copy(), flat[:, 1].copy()))
 
     def run(batches):
         words, starts, terms, weights = sent.value
