@@ -232,14 +232,14 @@ def learner_of(learners: dict, name: str, fold: int) -> Boost | None:
 def fit_boosting(sets: DataFrame, sizes: DataFrame, learners: dict, edges: np.ndarray, group_rows: int | None = None) -> DataFrame:
     """Trees of every learner and set; columns as in TREES.
 
-    ``sets`` (fold, bull, row, y, x) and ``sizes`` (fold, bull, n, n_pos) are those of ``fitting``; ``learners`` maps names to a Boost,
+    ``sets`` (fold, bull, row, y, x, or bins if they are cut already) and ``sizes`` (fold, bull, n, n_pos) are those of ``fitting``; ``learners`` maps names to a Boost,
     or to one per fold.
     """
     spark = sets.sparkSession
     group_rows = GROUP_ROWS if group_rows is None else group_rows
     sent = spark.sparkContext.broadcast(edges)
     names = sorted(learners)
-    rows = binned(sets, edges)
+    rows = sets if "bins" in sets.columns else binned(sets, edges)
     small = sizes.filter(F.col("n") <= group_rows).select(*SET)
     model = F.explode(F.array(*[F.lit(m) for m in names])).alias("model")
 
