@@ -83,11 +83,13 @@ def attribute(rows: DataFrame, trees: DataFrame, model: str, s: Series = DAILY)
     dealt = own.join(F.broadcast(counts), list(SET)).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = left.drop_columns(["_part", "x"])
+        if not left.num_rows:
+            return out.append_column("mean", pa.array([], pa.float64())).append_column("phi", pa.array([], pa.list_(pa.float64())))
         x = np.array(left.column("x").combine_chunks().flatten()).reshape(left.num_rows, -1)
         mean, leaves = paths(right.column("trees")[0].as_py())
         phi = contributions(x, leaves)
         cells = pa.ListArray.from_arrays(pa.array(np.arange(left.num_rows + 1) * x.shape[1], pa.int32()), pa.array(phi.ravel()))
-        out = left.drop_columns(["_part", "x"])
         out = out.append_column("mean", pa.array(np.full(left.num_rows, mean + right.column("base")[0].as_py())))
         return out.append_column("phi", cells)
 

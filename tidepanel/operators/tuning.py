@@ -31,7 +31,7 @@ def _boost(unit: np.ndarray, base: Boost) -> Boost:
     """A point of the unit cube as parameters."""
     v = {k: lo + u * (hi - lo) for (k, (lo, hi)), u in zip(SPACE.items(), unit)}
     whole = {k: int(min(SPACE[k][1], SPACE[k][0] + math.floor(u * (SPACE[k][1] - SPACE[k][0] + 1)))) for k, u in zip(SPACE, unit) if k in ("depth", "trees")}
-    return replace(base, depth=whole["depth"], trees=whole["trees"], rate=math.exp(v["rate"]), subsample=v["subsample"])
+    return replace(base, depth=whole["depth"], trees=whole["trees"], rate=math.exp(v["rate"]), subsample=float(v["subsample"]))
 
 
 class Search:
