@@ -9,7 +9,7 @@ from tidepanel.catalog import views as v
 from tidepanel.catalog.base import add
 from tidepanel.catalog.oracle import EPS, MACRO_FEATURES, lag, roll, with_
 from tidepanel.functions.series import DAILY, Series
-from tidepanel.functions.tables import new_path
+from tidepanel.functions.tables import materialise, new_path
 from tidepanel.operators import assemble, clean, ic, indicators, macro, regime, returns
 from tidepanel.sources import bars as src
 
@@ -437,6 +437,8 @@ from (select *, {lag('close')} as pc, ln(close / {lag('close')}) as r from h) x"
 # --- signal quality ---------------------------------------------------------------------------
 
 IC_FEATURES = ["zscore_20", "realized_vol_20d", "close_to_sma_50", "rolling_ret_21d", "market_regime"]
+#: All model inputs of the feature table; the pooled matrix keeps to the five above.
+IC_ALL = [c for c in (c.partition(":")[0] for c in _ALL) if c not in assemble.NOT_FEATURES]
 
 
 def ic_input(b: DataFrame) -> DataFrame:
@@ -444,11 +446,12 @@ def ic_input(b: DataFrame) -> DataFrame:
     return indicators.close_to_sma(indicators.price_zscore(df, (20,)), (50,))
 
 
-def ic_sql(by: str, method: str) -> str:
+def ic_sql(by: str, method: str, features: list[str]) -> str:
     cols = ", ".join(f"lead(close, {h}) over (partition by ticker order by dt) / close - 1 as f{h}" for h in ic.HORIZONS)
+    x = "round(cast({} as double), 8)" if features is IC_ALL else "cast({} as double)"
     long = " union all ".join(
-        f"select {by} as grp, '{c}' as feature, {h} as horizon, cast({c} as double) as x, f{h} as y from r where {c} is not null and f{h} is not null"
-        for c in IC_FEATURES for h in ic.HORIZONS
+        f"select {by} as grp, '{c}' as feature, {h} as horizon, {x.format(c)} as x, f{h} as y from r where {c} is not null and f{h} is not null"
+        for c in features for h in ic.HORIZONS
     )
     w = "partition by grp, feature, horizon"
     rank = ", ".join(
@@ -460,10 +463,14 @@ select grp, feature, horizon, count(*) as n, case when count(*) > 30 and not isn
 from (select *, {rank} from (select * from ({long}) l) l2) l3 group by grp, feature, horizon"""
 
 
+_AHEAD = ", ".join(f"lead(close, {h}) over (partition by ticker order by dt) / close - 1 as f{h}" for h in ic.HORIZONS)
+
+
 def _ic_with(by: str, method: str = "spearman") -> str:
-    return with_("feats") + f""",
-r as (select *, {", ".join(f"lead(close, {h}) over (partition by ticker order by dt) / close - 1 as f{h}" for h in ic.HORIZONS)} from feats),
-ics as ({ic_sql(by, method)})"""
+    """Forward returns are those of the table's own rows."""
+    if by == "ticker":
+        return f"{ALL_SQL[0]}, r as materialized (select *, {_AHEAD} from ({ALL_SQL[1]}) a), ics as materialized ({ic_sql(by, method, IC_ALL)})"
+    return with_("feats") + f", r as (select *, {_AHEAD} from feats), ics as ({ic_sql(by, method, IC_FEATURES)})"
 
 
 add(
@@ -474,6 +481,12 @@ add(
 
 
 def ics(spark: SparkSession, d: str, method: str = "spearman", by=("ticker",)) -> DataFrame:
+    if by:
+        df = build(spark, d)
+        columns = assemble.feature_columns(df)
+        # equal prices give equal means only up to the last bits: rounded, both engines see the same ties
+        df = materialise(df.withColumns({c: F.round(F.col(c).cast("double"), 8) for c in columns}), "features")
+        return materialise(ic.ic_matrix(df, columns, method=method, by=by), "ics")
     return ic.ic_matrix(ic_input(v.bars(spark, d)), IC_FEATURES, method=method, by=by)
 
 
@@ -520,7 +533,7 @@ from hl where half_life > 0 and half_life < cast('inf' as double) group by grp""
 add(
     "ic_summary", "G6", lambda s, d: ic.ic_summary(ics(s, d), top=3),
     (_ic_with("ticker") + _HALF, f"""
-select * from (select *, row_number() over (partition by ticker order by abs(ic_1d) desc nulls last, feature) as rk
+select * from (select *, row_number() over (partition by ticker order by round(abs(ic_1d), 9) desc nulls last, feature) as rk
   from (select i.grp as ticker, i.feature, {', '.join(f'max(case when horizon = {h} then ic end) as ic_{h}d' for h in ic.HORIZONS)}, max(h.half_life) as half_life
     from ics i join hl h using (grp, feature) group by 1, 2) p) z where rk <= 3"""),
     keys="ticker feature", doubles=names("ic_{}d", ic.HORIZONS) + " half_life",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.functions.ranks import average_rank
 from tidepanel.functions.series import DAILY, Series, windowed
@@ -19,10 +22,49 @@ def forward_returns(df: DataFrame, horizons=HORIZONS, s: Series = DAILY) -> Data
     return df.withColumns({f"fwd_ret_{h}d": F.try_divide(F.lead("close", h).over(w), F.col("close")) - 1.0 for h in horizons})
 
 
-def _window_rank(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
-    order = Window.partitionBy(*groups).orderBy(value)
-    ties = Window.partitionBy(*groups, value)
-    return df.withColumn(out, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties share the mean."""
+    order = np.argsort(v, kind="stable")
+    new = np.concatenate([[True], v[order][1:] != v[order][:-1]])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(v)))
+    out = np.empty(len(v))
+    out[order] = np.repeat(start + (size + 1) / 2.0, size)
+    return out
+
+
+def _correlation(a: np.ndarray, b: np.ndarray) -> float | None:
+    a, b = a - a.mean(), b - b.mean()
+    size = np.sqrt((a * a).sum() * (b * b).sum())
+    return float((a * b).sum() / size) if size > 0 else None
+
+
+def _whole_series(wide: DataFrame, by: list[str], features: list[str], horizons, method: str) -> DataFrame:
+    """The matrix of every group in one task: a series of dates is bounded by the calendar, so no row is repeated per feature or horizon."""
+    fields = [wide.schema[c] for c in by]
+    schema = T.StructType([*fields, T.StructField("feature", T.StringType()), T.StructField("horizon", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("_ic", T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        cells = {c: table.column(c).to_numpy() for c in [*features, *[f"fwd_ret_{h}d" for h in horizons]]}
+        known = {c: table.column(c).is_valid().to_numpy() for c in cells}
+        found = []
+        for c in features:
+            for h in horizons:
+                pairs = known[c] & known[f"fwd_ret_{h}d"]
+                n = int(pairs.sum())
+                x, y = cells[c][pairs], cells[f"fwd_ret_{h}d"][pairs]
+                ic = None
+                if n > LEAST_PAIRS:
+                    ic = _correlation(_ranks(x), _ranks(y)) if method == "spearman" else _correlation(x, y)
+                if n:
+                    found.append((c, h, n, ic))
+        first = pa.array(np.zeros(len(found), np.int64))
+        columns = [table.column(c).combine_chunks().take(first) for c in by]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64()]
+        columns += [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
+        return pa.Table.from_arrays(columns, [*by, "feature", "horizon", "n", "_ic"])
+
+    return wide.groupBy(*by).applyInArrow(run, schema)
 
 
 def ic_matrix(
@@ -43,6 +85,16 @@ def ic_matrix(
     if not by:
         wide = wide.withColumn("sample", F.lit("all"))
     groups = [*(by or ("sample",)), "feature", "horizon"]
+    if set(s.keys) <= set(by) and not s.block_rows(df):
+        out = _whole_series(wide, groups[:-2], list(features), tuple(horizons), method)
+    else:
+        out = _pooled(wide, groups, features, horizons, method)
+    ic = F.when(F.col("n") > LEAST_PAIRS, F.col("_ic"))
+    return out.select(*groups, "n", F.when(~F.isnan(ic), ic).alias("ic"))
+
+
+def _pooled(wide: DataFrame, groups: list[str], features: list[str], horizons, method: str) -> DataFrame:
+    """Groups of any size: pairs as rows, ranked in value buckets."""
     ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_ret_{h}d").alias("y")) for h in horizons])
     long = (
         wide.unpivot([*groups[:-2], *[f"fwd_ret_{h}d" for h in horizons]], features, "feature", "x")
@@ -51,20 +103,12 @@ def ic_matrix(
         .select(*groups[:-2], "feature", "x", "_a.horizon", "_a.y")
         .filter(F.col("y").isNotNull())
     )
+    pair = ("x", "y")
     if method == "spearman":
-        # one series of dates is a small group; anything larger is ranked in value buckets
-        whole = set(s.keys) <= set(by) and not s.block_rows(df)
-        if whole:
-            long = _window_rank(_window_rank(long, groups, "x", "_rx"), groups, "y", "_ry")
-        else:
-            long = materialise(average_rank(materialise(long, "pairs"), groups, "x", "_rx"), "ranked")
-            long = average_rank(long, groups, "y", "_ry")
+        long = materialise(average_rank(materialise(long, "pairs"), groups, "x", "_rx"), "ranked")
+        long = average_rank(long, groups, "y", "_ry")
         pair = ("_rx", "_ry")
-    else:
-        pair = ("x", "y")
-    out = long.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.corr(*pair).alias("_ic"))
-    ic = F.when(F.col("n") > LEAST_PAIRS, F.col("_ic"))
-    return out.select(*groups, "n", F.when(~F.isnan(ic), ic).alias("ic"))
+    return long.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.corr(*pair).alias("_ic"))
 
 
 def _first(ics: DataFrame) -> DataFrame:
@@ -112,13 +156,16 @@ def optimal_holding_period(half_lives: DataFrame, by: tuple[str, ...] = ("ticker
 
 
 def ic_summary(ics: DataFrame, top: int | None = None, by: tuple[str, ...] = ("ticker",)) -> DataFrame:
-    """Coefficients by horizon with half-life, strongest one-day signal first; top n per group."""
+    """Coefficients by horizon with half-life, strongest one-day signal first; top n per group.
+
+    Coefficients that agree to nine digits count as equal and go by name.
+    """
     keys = [*by, "feature"]
     horizons = list(HORIZONS)
     wide = ics.groupBy(*keys).pivot("horizon", horizons).agg(F.first("ic"))
     wide = wide.withColumnsRenamed({str(h): f"ic_{h}d" for h in horizons})
     joined = wide.join(ic_half_life(ics, by), keys, "left")
-    order = [F.desc_nulls_last(F.abs("ic_1d")), F.asc("feature")]
+    order = [F.desc_nulls_last(F.round(F.abs("ic_1d"), 9)), F.asc("feature")]
     if top is None:
         return joined.orderBy(*order)
     if not by:
