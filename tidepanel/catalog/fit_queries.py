@@ -18,7 +18,7 @@ from tidepanel.operators.assemble import NOT_FEATURES, feature_columns
 
 TRAIN, TEST = 252, 20
 #: Wider windows for the searches: each trial fits every part of every fold.
-WIDE_TRAIN, WIDE_TEST, TRIALS = 504, 400, 8
+WIDE_TRAIN, WIDE_TEST, TRIALS = 504, 400, 6
 
 
 N_FEATURES = len([c.partition(":")[0] for c in _ALL if c.partition(":")[0] not in NOT_FEATURES])
@@ -183,7 +183,7 @@ add(
 def _tuned(spark: SparkSession, d: str) -> DataFrame:
     """Scores of the tuned learner and of the default one kept beside it, and what tuning changed."""
     df, names = features(spark, d)
-    out = walk.walk_forward(df, names, WIDE_TRAIN, WIDE_TEST, trials=4)
+    out = walk.walk_forward(df, names, WIDE_TRAIN, WIDE_TEST, trials=2)
     both = [walk.reports(out, [n]).withColumn("model", F.lit("BoostA")) for n in ("BoostA", "BoostA_baseline")]
     tested = both[0].select("model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_tested"))
     delta = meta.tuned_vs_baseline(*both, on="model").join(tested, "model")
