@@ -320,3 +320,25 @@ def test_rates_of_domains_hard_to_tell_apart(spark):
     assert sum(abs(a - b) for a, b in zip(want, got)) <= mixing.TOLERANCE * 2010
     with pytest.warns(UserWarning, match="targets missed"):
         mixing.fit_rates(rows, [0.5, 0.5], total=1000.0, least=1.0)
+
+
+def test_filter_before_the_sort_keeps_every_piece_that_shares_a_string():
+    r = random.Random(11)
+    anchor = bytes(r.randrange(97, 123) for _ in range(50))
+    side = lambda: bytes(r.choice(b"ab") for _ in range(r.randint(0, 4))) + r.choice((b"x", b"y")) * r.randint(0, 55)
+    for again in (False, True):
+        parts = [side()[-50:] + anchor + side()[::-1][:50] for _ in range(60)]
+        parts = [p for p in parts if len(p) >= 100] + ([anchor + b"z" * 3 + anchor] if again else [])
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        key = suffix_dedup.ANCHOR.hashes(suffix_dedup.ANCHOR.sums(np.frombuffer(anchor, np.uint8)), np.array([0]), np.array([50]))
+        keep = suffix_dedup.may_share(np.repeat(key.view(np.int64), len(parts)), data, np.array(list(map(len, parts))))
+        strings = [{p[i : i + 100] for i in range(len(p) - 99)} for p in parts]
+        shares = [any(a & b for j, b in enumerate(strings) if j != i) for i, a in enumerate(strings)]
+        assert any(shares) and not all(shares) and all(k for k, s in zip(keep, shares) if s)
+        assert keep.all() if again else not keep.all()
+
+
+def test_runs_of_strings():
+    u, s, n = suffix_dedup.in_runs(np.array([2, 1, 1, 1, 2]), np.array([5, 8, 7, 3, 6]))
+    assert list(zip(u.tolist(), s.tolist(), n.tolist())) == [(1, 3, 1), (1, 7, 2), (2, 5, 2)]
+    assert len(suffix_dedup.in_runs(np.zeros(0, np.int64), np.zeros(0, np.int64))[0]) == 0

@@ -6,7 +6,7 @@ Strings of one document that follow each other mostly share it, so documents fal
 overlapping pieces keyed by that hash, their anchor, and equal strings always lie in pieces of one anchor.
 
 Pieces equal as a whole are settled by their digests.  The different pieces of an anchor are sorted by column-wise
-construction: round by round one symbol of every piece is inserted, from the last to the first, which
+construction, but for those that share no range of 90 bytes around the anchor with another: round by round one symbol of every piece is inserted, from the last to the first, which
 updates the Burrows-Wheeler transform of the collection and the common prefixes of neighbours in
 suffix order.  Neighbours that share LENGTH bytes hold equal strings.
 """
@@ -24,13 +24,16 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.tables import materialise
 from tidepanel.llm.storage import small_side
-from tidepanel.llm.text import Rolling, Texts, ragged, texts
+from tidepanel.llm.text import Rolling, Texts, mix, ragged, texts
 
 LENGTH, GRAM = 100, 50
 #: Strings that a piece starts at most (periodic texts would give endless pieces).
 PIECE_STRINGS = 100
 #: Bytes sorted at a time.  An anchor with more different pieces than HOT_PIECES is settled by string digests instead.
 SORT_BYTES, HOT_PIECES = 400_000, 3_000
+#: Before the sort: any string of an anchor holds one of the CORE-byte ranges that begin a multiple of STEP bytes before it.
+STEP = 10
+CORE = LENGTH - STEP
 
 ANCHOR, DIGEST = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
 NONE = np.uint64(2**64 - 1)
@@ -255,6 +258,44 @@ def repeated(uid: np.ndarray, start: np.ndarray, data: np.ndarray, lengths: np.n
     return u[later], s[later]
 
 
+def may_share(anchor: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which pieces can share a string with another one of their anchor, or repeat one of their own.
+
+    A string holds its anchor after 0 to LENGTH - GRAM bytes.  Whatever that number, it also holds one of the
+    CORE-byte ranges that begin 0, STEP, 2 * STEP ... bytes before the anchor, so two pieces that hold the anchor once
+    and agree in none of these ranges share no string.  Where a piece of an anchor holds it several times, all stay.
+    """
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    sums, sums2 = ANCHOR.sums(data), DIGEST.sums(data)
+    at = ragged(begins, np.maximum(lengths - GRAM + 1, 0))
+    piece = np.repeat(np.arange(len(lengths)), np.maximum(lengths - GRAM + 1, 0))
+    hit = ANCHOR.hashes(sums, at, at + GRAM) == anchor.view(np.uint64)[piece]
+    at, piece = at[hit], piece[hit]
+    _, group = np.unique(anchor, return_inverse=True)
+    keep = np.zeros(len(lengths), bool)
+    often = np.bincount(piece, minlength=len(lengths)) != 1
+    keep[np.isin(group, group[often])] = True
+    at, piece = at[~keep[piece]], piece[~keep[piece]]
+    for back in range(0, LENGTH - GRAM, STEP):
+        fits = (at - back >= begins[piece]) & (at - back + CORE <= ends[piece])
+        here, own = at[fits] - back, piece[fits]
+        key = mix(DIGEST.hashes(sums2, here, here + CORE) ^ mix(group[own].astype(np.uint64))) if len(own) else np.zeros(0, np.uint64)
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep[own[count[which] > 1]] = True
+    return keep
+
+
+def in_runs(uid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """uid, start and number of strings of each run of strings that follow each other."""
+    order = np.lexsort((start, uid))
+    uid, start = uid[order], start[order]
+    first = np.ones(len(uid), bool)
+    first[1:] = (uid[1:] != uid[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(first)
+    return uid[at], start[at], np.diff(np.append(at, len(uid)))
+
+
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor; sorts whole anchors together, about SORT_BYTES at a time."""
     waiting: list[pa.Table] = []
@@ -263,8 +304,11 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = table.column("data").combine_chunks().cast(pa.large_binary())
         lengths = np.diff(np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1])
         flat = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
-        u, s = repeated(table.column("uid").to_numpy(), table.column("start").to_numpy().astype(np.int64), flat, lengths)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(s.astype(np.int32)), pa.array(np.full(len(u), 1, np.int32))], ["uid", "start", "strings"])
+        uid, start = table.column("uid").to_numpy(), table.column("start").to_numpy().astype(np.int64)
+        some = may_share(table.column("anchor").to_numpy(), flat, lengths)
+        flat = flat[ragged((np.cumsum(lengths) - lengths)[some], lengths[some])]
+        u, s, n = in_runs(*repeated(uid[some], start[some], flat, lengths[some]))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["uid", "start", "strings"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
