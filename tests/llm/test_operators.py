@@ -342,3 +342,61 @@ def test_runs_of_strings():
     u, s, n = suffix_dedup.in_runs(np.array([2, 1, 1, 1, 2]), np.array([5, 8, 7, 3, 6]))
     assert list(zip(u.tolist(), s.tolist(), n.tolist())) == [(1, 3, 1), (1, 7, 2), (2, 5, 2)]
     assert len(suffix_dedup.in_runs(np.zeros(0, np.int64), np.zeros(0, np.int64))[0]) == 0
+
+
+class Bytes:
+    """Subword reader for tests: a word is its bytes, the first one apart."""
+
+    size = end = 512
+    ids = staticmethod(lambda words: [np.array([w[0] + 256, *w[1:]], np.int32) for w in words])
+
+
+def test_windows_grow_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "loaded", lambda *_: Bytes)
+    import pyarrow as pa
+
+    texts = [None, "", "a", "ab " * 510, "ab " * 511, "ab " * 512, "x y " * 5000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(7), pa.int64()), "text": pa.array(texts, pa.string())})
+    sent = type("Sent", (), {"value": ("", "")})
+    out = pa.Table.from_batches(list(lm._windows(sent)(iter([batch])))).to_pylist()
+    found = Counter(r["doc_id"] for r in out)
+    assert [found[i] for i in range(7)] == [1, 1, 1, 1, 1, 2, 20]
+    for r in out:
+        words = (texts[r["doc_id"]] or "").encode().split()
+        ids = [*[-1] * lm.BLOCK, 512, *(int(x) for w in Bytes.ids(words) for x in w), 512, *[-1] * lm.BLOCK]
+        u = lm.BLOCK + 1 + sum(map(len, words[: r["place"]]))
+        assert r["ids"] == ids[u - lm.BLOCK - 1 : u + lm.BLOCK]
+
+
+def test_scores_are_those_of_masked_attention():
+    """Block by block against the pass that the gradients use, also where numbers are too large for the short way."""
+    from tidepanel.llm.text import Texts
+
+    rng = np.random.default_rng(8)
+    texts = [b"", b"one", b"a few words " * 3, b"more than a single block of words " * 9]
+    offsets = np.cumsum([0, *map(len, texts)])
+    import pyarrow as pa
+
+    t = Texts(pa.RecordBatch.from_pydict({"i": list(range(4))}), np.frombuffer(b"".join(texts), np.uint8), offsets)
+    seq = lm.Sequence(Bytes, t)
+    class_of = rng.integers(0, 9, 513)
+    for scale in (1, 40):
+        p = lm.start(20, np.ones(9))
+        p = {k: (w * scale if k in ("E", "rel") else w) for k, w in p.items()}
+        model = lm.Model(p, rng.integers(0, 20, 513), class_of, np.zeros(513, np.float32), (np.arange(9) < 4).astype(np.float32))
+        got, begin = model.scores(seq)
+        at, want, first_of = 0, [], []
+        for n in seq.doc_tokens:
+            ids = np.concatenate([[512], seq.tokens[at : at + n]])
+            for a in range(0, n, lm.BLOCK):
+                block = lambda k: np.concatenate([x := model.input_of[ids[:n][max(k, 0) : k + lm.BLOCK]] if k >= 0 else np.zeros(0, int), np.full(lm.BLOCK - len(x), 20)])
+                h = lm.attend(p, block(a)[None], block(a - lm.BLOCK)[None], np.array([a == 0]))[0][0].astype(float)
+                z = h @ p["W2"] + p["b2"]
+                z -= z.max(axis=1, keepdims=True)
+                z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+                for i in range(min(lm.BLOCK, n - a)):
+                    want.append(z[i, class_of[ids[a + i + 1]]])
+                    first_of.append(np.exp(z[i, :4]).sum())
+            at += n
+        assert np.allclose(got, want, rtol=2e-3, atol=2e-3 * scale)
+        assert np.allclose(np.exp(begin), first_of, atol=2e-3 * scale)
