@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidepanel.functions.tables import materialise
 from tidepanel.llm import bpe, exact_dedup, minhash, mixing, quality
@@ -17,10 +18,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text; of rows that repeat a doc_id all stay or go together."""
-    marked = exact_dedup.exact_dedup(docs)
-    dropped = materialise(marked.filter("doc_id <> keep_id").select("doc_id").distinct(), "dropped")
-    return docs.join(small_side(dropped), "doc_id", "left_anti").select(docs.columns)
+    """One row of each text, that of the largest doc_id; rows with the same id and another text are judged apart.
+
+    A row without doc_id goes if one with an id has its text.  Of rows equal in id and text the smallest stays.
+    """
+    marked = exact_dedup.exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.first("keep_id").alias("keep_id"), F.count("*").alias("n"))
+    marked = marked.select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("s"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"), "n")
+    marked = materialise(marked.filter("n > 1 or not stays"), "copies")
+    gone, again = marked.filter("not stays").select("d", "s"), marked.filter("stays").select("d", "s")
+    same = F.col("id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), exact_dedup.digest(F.col("text")).alias("sha"))
+    rows = rows.join(small_side(gone), same, "left_anti")
+    if again.limit(1).count():
+        once = rows.join(small_side(again), same, "left_semi").groupBy("id", "sha").agg(F.min("row").alias("row"))
+        rows = rows.join(small_side(again), same, "left_anti").select("row").union(once.select("row"))
+    return rows.select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +46,10 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids of every row."""
-    return bpe.encode_documents(docs, tokenizer_file(VOCABULARY))
+    """doc_id, ids of every row, and the digest of the text that the ids decode to."""
+    vocabulary = tokenizer_file(VOCABULARY)
+    decoded = bpe.decode_documents(bpe.encode_documents(docs, vocabulary), vocabulary, keep_ids=True)
+    return decoded.select("doc_id", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -46,7 +60,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: A trained classifier and fitted rates are not expressible in SQL; tests hold the stages against brute force.
+#: A trained classifier and fitted rates are not expressible in SQL.
 ORACLE_SQL = None
 
 

@@ -164,7 +164,7 @@ def test_mixing_meets_targets(spark):
 
 def test_pipeline_runs(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "ids"]
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "ids", "decoded_sha256"]
 
 
 def test_bpe_small_vocabularies():
@@ -400,3 +400,43 @@ def test_scores_are_those_of_masked_attention():
             at += n
         assert np.allclose(got, want, rtol=2e-3, atol=2e-3 * scale)
         assert np.allclose(np.exp(begin), first_of, atol=2e-3 * scale)
+
+
+CLASHING = ["_n", "_p", "_k", "_z", "_e", "_sum", "_top", "_words", "_copy", "_row", "row", "id", "sha", "d", "s", "text_sha256", "keep_id"]
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Repeated ids with other texts, repeated rows, copies in other case, null ids, and columns named like the helpers'."""
+    rows = [
+        (1, "Same text"), (2, "same TEXT"), (2, "another text"), (3, "lone"), (3, "lone"), (4, None), (5, ""), (None, "lone"), (None, "nobody's"), (None, "nobody's"), (2, "yet another"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame([(i, t, "en", "s", 1, *(f"{c}-own" for c in CLASHING)) for i, t in rows], schema).repartition(2)
+
+
+def test_drop_copies_by_row(spark, odd_docs):
+    got = corpus_pipeline.drop_copies(spark, odd_docs, "")
+    assert got.columns == odd_docs.columns
+    rows = got.collect()
+    want = [(2, "same TEXT"), (2, "another text"), (2, "yet another"), (3, "lone"), (5, ""), (None, "nobody's")]
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(want)
+    assert all(r[c] == f"{c}-own" for r in rows for c in CLASHING)
+    assert corpus_pipeline.drop_copies(spark, odd_docs.limit(0), "").count() == 0
+
+
+def test_mixed_keeps_clashing_columns(spark, odd_docs):
+    labelled = spark.createDataFrame([(1, "en"), (3, "de")], "doc_id long, domain string")
+    got = mixing.mixed(odd_docs, labelled, {"en": 0.5, "de": 0.5}, least=1.0)
+    assert got.columns == odd_docs.columns
+    rows = got.collect()
+    assert {(r["doc_id"], r["text"]) for r in rows} == {(r["doc_id"], r["text"]) for r in odd_docs.collect()}
+    assert all(r[c] == f"{c}-own" for r in rows for c in CLASHING)
+
+
+def test_last_stage_decodes(spark, odd_docs):
+    got = corpus_pipeline.encode(spark, odd_docs, "")
+    texts = Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in odd_docs.collect())
+    rows = got.collect()
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in rows) == texts
+    assert all((len(r["ids"]) > 0) == (r["decoded_sha256"] != hashlib.sha256(b"").hexdigest()) for r in rows)

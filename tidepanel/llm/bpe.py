@@ -293,8 +293,8 @@ def encode_documents(docs: DataFrame, content: bytes) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode_documents(encoded: DataFrame, content: bytes) -> DataFrame:
-    """doc_id, text of rows (doc_id, ids); bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
+def decode_documents(encoded: DataFrame, content: bytes, keep_ids: bool = False) -> DataFrame:
+    """doc_id, text (and the ids) of rows (doc_id, ids); bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
     sent = encoded.sparkSession.sparkContext.broadcast(content)
 
     def run(batches):
@@ -304,9 +304,10 @@ def decode_documents(encoded: DataFrame, content: bytes) -> DataFrame:
             for ids in batch.column("ids"):
                 own = np.asarray(ids.values) if ids.is_valid else np.zeros(0, np.int32)
                 out.append(bpe.decode(own.astype(np.int64)).tobytes().decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
+            cols = {"doc_id": batch.column("doc_id"), "text": pa.array(out, pa.string())} | ({"ids": batch.column("ids")} if keep_ids else {})
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string" + (", ids array<int>" if keep_ids else ""))
 
 
 def encoding_digests(docs: DataFrame, content: bytes) -> DataFrame:

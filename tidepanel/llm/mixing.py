@@ -179,7 +179,13 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total
     """
     names = sorted(targets)
     model = learn_domains(docs, labelled, names)
-    rows = materialise(with_posteriors(docs.select("text"), model).drop("text"), "posteriors")
+    # the caller's columns travel as one struct, so that none can clash with those of the fit
+    own = docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("_row"), "text")
+    rows = materialise(with_posteriors(own, model).drop("text"), "posteriors")
     steps, _, _ = fit_rates(rows, [targets[d] for d in names], total, least)
-    out = with_posteriors(docs, model).withColumn("_k", copies(rate(steps, least), F.col("doc_id")))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_k").cast("int")))).select(docs.columns)
+    often = copies(rate(steps, least), F.col("_row")["doc_id"]).cast("int")
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(1), often)).alias("_copy")).select("_row.*")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
