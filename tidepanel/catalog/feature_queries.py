@@ -150,7 +150,10 @@ add(
     (with_("bars5"), "select ticker, max(close) as top, count(*) as n from bars5 group by ticker"),
     keys="ticker", ints="n", doubles="top",
 )
-add("sample_rows", "A10", on_bars(lambda b: src.sample_rows(b, 500)), doubles=OHLCV)
+add(
+    "sample_rows", "A10", on_bars(lambda b: src.sample_rows(b, 500)),
+    (with_("bars5"), "select * from bars5 order by md5(ticker || '|' || cast(dt as varchar) || '|42') limit 500"), doubles=OHLCV,
+)
 
 # --- cleaning ---------------------------------------------------------------------------------
 

@@ -63,13 +63,28 @@ def training_sets(rows: DataFrame, assigned: DataFrame, sizes: DataFrame, s: Ser
 
 
 def scalers(rows: DataFrame, assigned: DataFrame, s: Series = DAILY) -> DataFrame:
-    """fold, mean, dev (population) of the features over the labelled training rows of both sides; a constant feature has deviation 1."""
-    stats = in_folds(rows.filter("y is not null"), assigned, "train", s).groupBy("fold").agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("x")).alias("m"))
-    n = F.col("m.count").cast("double")
-    # the variance of one row is 0 over 0 rows; rounding of a constant is far below its size
+    """fold, mean, dev (population) of the features over the labelled training rows of both sides; a constant feature has deviation 1.
+
+    Rows are summed up per date first: folds repeat dates, not rows.  A fold's squares are those within its dates
+    and those between their means.
+    """
+    dates = rows.filter("y is not null").groupBy(s.order).agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("x")).alias("m"))
+    size = F.col("m.count").cast("double")
+    within = array_to_vector(F.transform(vector_to_array("m.variance"), lambda v: v * (size - 1)))
+    dates = dates.select(s.order, F.col("m.mean").alias("mean"), within.alias("within"), size.alias("size"))
+    stats = in_folds(dates, assigned, "train", s).groupBy("fold").agg(
+        Summarizer.metrics("mean", "variance").summary(F.col("mean"), F.col("size")).alias("m"),
+        Summarizer.metrics("sum").summary(F.col("within")).alias("w"),
+        F.sum("size").alias("n"),
+        F.sum(F.col("size") * F.col("size")).alias("n2"),
+    )
+    # the weighted variance comes per (n - n2 / n)
+    between = F.col("n") - F.col("n2") / F.col("n")
+    parts = F.arrays_zip(vector_to_array("m.variance").alias("v"), vector_to_array("w.sum").alias("w"), vector_to_array("m.mean").alias("c"))
+    # rounding of a constant is far below its size
     dev = F.transform(
-        F.arrays_zip(vector_to_array("m.variance").alias("v"), vector_to_array("m.mean").alias("c")),
-        lambda z: F.when(F.sqrt(z["v"] * (n - 1) / n) > F.greatest(F.lit(1e-12), F.abs(z["c"]) * 1e-12), F.sqrt(z["v"] * (n - 1) / n)).otherwise(1.0),
+        F.transform(parts, lambda z: F.struct(F.sqrt((z["v"] * between + z["w"]) / F.col("n")).alias("d"), F.abs(z["c"]).alias("c"))),
+        lambda z: F.when(z["d"] > F.greatest(F.lit(1e-12), z["c"] * 1e-12), z["d"]).otherwise(1.0),
     )
     return materialise(stats.select("fold", vector_to_array("m.mean").alias("mean"), dev.alias("dev")), "scalers")
 

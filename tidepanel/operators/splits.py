@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.joins import by_date, with_totals
 from tidepanel.functions.ranks import tie_order
 from tidepanel.functions.series import DAILY, Series, running
+from tidepanel.functions.tables import materialise
 
 
 def date_index(df: DataFrame, s: Series = DAILY) -> DataFrame:
@@ -60,19 +61,21 @@ def calendar_walk_forward(
 
 
 def assign_folds(df: DataFrame, folds: DataFrame, order: str = "dt") -> DataFrame:
-    """Rows of each fold with their role; a row appears once per fold and role it belongs to."""
-    dates = df.select(order).distinct()
-    bounds = F.broadcast(folds.select("fold", "train_start", "train_end", "test_start", "test_end"))
-    roles = F.array(F.lit("train"), F.lit("test"))
-    spans = bounds.withColumn("role", F.explode(roles)).select(
-        "fold",
-        "role",
-        F.when(F.col("role") == "train", F.col("train_start")).otherwise(F.col("test_start")).alias("_a"),
-        F.when(F.col("role") == "train", F.col("train_end")).otherwise(F.col("test_end")).alias("_b"),
-    )
-    # fold rows are few; only the calendar is compared with them
-    members = dates.join(F.broadcast(spans), F.col(order).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
-    return by_date(df, members, order, "inner")
+    """Rows of each fold with their role; a row appears once per fold and role it belongs to.
+
+    Bounds become positions in the calendar, and a fold lists the positions between them, so that dates
+    and folds meet by equal keys and are never compared.
+    """
+    pairs = [("train", "train_start", "train_end"), ("test", "test_start", "test_end")]
+    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(a).alias("_a"), F.col(b).alias("_b")) for r, a, b in pairs]))
+    spans = materialise(folds.select("fold", roles.alias("r")).select("fold", "r.*"), "spans")
+    # a bound need not be a date of df, so the calendar holds both
+    bounds = spans.select(F.explode(F.array("_a", "_b")).alias(order)).dropna()
+    calendar = materialise(date_index(df.select(order).unionByName(bounds), Series(order=order)).select(order, "idx"), "calendar")
+    ends = [calendar.select(F.col(order).alias(c), F.col("idx").alias(i)) for c, i in (("_a", "_from"), ("_b", "_to"))]
+    placed = spans.join(ends[0], "_a").join(ends[1], "_b").filter("_from <= _to")
+    members = placed.select("fold", "role", F.explode(F.sequence("_from", "_to")).alias("idx")).join(calendar, "idx").drop("idx")
+    return by_date(df, members.select(order, "fold", "role"), order, "inner")
 
 
 def _expand(index: DataFrame, test_lo: Column, train_lo: Column, train_hi: Column, test: int, start: int, order: str):
