@@ -10,11 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.catalog import views as v
 from tidepanel.catalog.base import add
 from tidepanel.catalog.feature_queries import _ALL, ALL_SQL, build
+from tidepanel.catalog.oracle import with_
+from tidepanel.catalog.trading_queries import _META as META_SQL
+from tidepanel.catalog.trading_queries import market, scored
 from tidepanel.functions.tables import materialise, new_path
-from tidepanel.operators import attribution, boosting, logistic, meta, stored, tuning, walk
+from tidepanel.operators import attribution, boosting, gate, logistic, meta, stored, tuning, walk
 from tidepanel.operators.assemble import NOT_FEATURES, feature_columns
+from tidepanel.operators.splits import expanding_walk_forward
+from tidepanel.plans.pipeline import run_pipeline
 
 TRAIN, TEST = 252, 20
 #: Wider windows for the searches: each trial fits every part of every fold.
@@ -194,3 +200,73 @@ add(
     "tuned_with_baseline", "I9 I11 I12", _tuned,
     (facts(WIDE_TRAIN, WIDE_TEST), "select 'BoostA' as model, count(y) as n_tested, 1 as complete from ts"), keys="model", ints="n_tested complete",
 )
+
+
+# --- the gate and the whole path ----------------------------------------------------------------
+
+
+def _known(nulls: str) -> str:
+    return " and ".join(f"{c} is not null" for c in meta.META_FEATURES) + nulls
+
+
+#: WITH clause of the gate's folds on the closed-form scores: se (fitted folds) and fo (all)
+GATE_SQL = with_("scored") + f""", di as materialized (
+    select dt, row_number() over (order by dt) - 1 as idx, count(*) over () as dates from (select distinct dt from scored) x
+), kn as materialized (
+    select * replace (lead(log_ret_1d) over (partition by ticker order by dt) as next_ret)
+    from (select s.* from scored s join di using (dt) where idx >= 252 and proba_S <> 0.5) k
+), mt as materialized (
+    select *, lead(dt) over (partition by ticker order by dt) as due, row_number() over (partition by ticker order by dt) as k from ({META_SQL.replace("from scored", "from kn")}) m
+), us as materialized (
+    select ticker, dt, due, meta_target, row_number() over (partition by ticker order by dt) as k from mt where {_known(" and meta_target is not null")}
+), en as materialized (
+    select us.ticker, us.meta_target, greatest(us.due, t.dt, f.due) as dt from us join mt t on t.ticker = us.ticker and t.k = 10 join us f on f.ticker = us.ticker and f.k = 5
+), fo as materialized (
+    select f as fold, 272 + 20 * (f - 1) as b, 272 + 20 * f as c
+    from range(1, 1 + greatest(0, cast(ceil((select max(dates) - 272 from di) / cast(20 as double)) as bigint))) r(f)
+), se as materialized (
+    select fold, count(*) as n, cast(sum(meta_target) as bigint) as n_pos from fo join di on idx < b join en using (dt)
+    group by fold having count(*) >= 50 and sum(meta_target) > 0 and sum(meta_target) < count(*)
+)"""
+
+
+def _gate_optimum(spark: SparkSession, d: str) -> DataFrame:
+    base = materialise(scored(v.bars(spark, d)), "scored")
+    folds = materialise(expanding_walk_forward(base, TRAIN, 20, TEST), "folds")
+    return logistic.optimality(*gate.fit_gate(base, folds, "S")).withColumn("optimal", (F.col("largest") < 1e-6).cast("int"))
+
+
+add("gate_optimum", "I18", _gate_optimum, (GATE_SQL, "select *, 1 as optimal from se"), keys="", ints="fold n n_pos optimal")
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows a fitted gate scored; its call follows its probability, the others trust every call."""
+    out = gate.gate_walk_forward(scored(v.bars(spark, d)), "S")
+    p, call = F.col("meta_proba"), F.col("meta_pred")
+    fitted = (p > 0) & (p < 1) & (p != 0.5)
+    sound = F.when(fitted, call == (p > 0.5).cast("double")).otherwise(call == 1)
+    return out.select("ticker", "dt", fitted.cast("int").alias("fitted"), sound.cast("int").alias("sound"))
+
+
+add(
+    "gate_scores", "I18", _gated,
+    (GATE_SQL, "select s.ticker, s.dt, cast(se.fold is not null as int) as fitted, 1 as sound from scored s join di using (dt) left join fo on idx >= b and idx < c left join se using (fold)"),
+    ints="fitted sound",
+)
+
+
+def _pipeline_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole path on all features; its figures depend on the fits, its dates and bounds do not."""
+    out = run_pipeline(v.bars(spark, d), market(spark, d), v.macro(spark, d), v.LABELS)
+    sound = F.col("max_drawdown").between(-1, 0) & F.col("win_rate").between(0, 1) & (F.col("annualized_volatility") > 0) & (F.col("total_return") > -1)
+    return out.withColumn("sound", sound.cast("int"))
+
+
+add(
+    "pipeline_report", "F16 I8 I9 I18 J3 N8 O10", _pipeline_report,
+    (ALL_SQL[0] + f", ft as materialized ({ALL_SQL[1]}), full_dates as (select dt from ft group by dt having count(*) = (select count(distinct ticker) from ft))", """
+select n || h as strategy, min(dt) as start_date, max(dt) as end_date, 1 as sound
+from full_dates, (values ('Logistic'), ('BoostA'), ('BoostB'), ('Ensemble'), ('Buy & Hold')) m(n), (values (''), (' (Beta-Neutral)')) x(h)
+where n <> 'Buy & Hold' or h = '' group by 1"""),
+    keys="strategy start_date end_date", ints="sound",
+)
