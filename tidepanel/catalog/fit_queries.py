@@ -17,7 +17,7 @@ from tidepanel.catalog.oracle import with_
 from tidepanel.catalog.trading_queries import _META as META_SQL
 from tidepanel.catalog.trading_queries import market, scored
 from tidepanel.functions.tables import materialise, new_path
-from tidepanel.operators import attribution, boosting, gate, logistic, meta, stored, tuning, walk
+from tidepanel.operators import attribution, boosting, gate, logistic, meta, refits, stored, tuning, walk
 from tidepanel.operators.assemble import NOT_FEATURES, feature_columns
 from tidepanel.operators.splits import expanding_walk_forward
 from tidepanel.plans.pipeline import run_pipeline
@@ -270,3 +270,38 @@ from full_dates, (values ('Logistic'), ('BoostA'), ('BoostB'), ('Ensemble'), ('B
 where n <> 'Buy & Hold' or h = '' group by 1"""),
     keys="strategy start_date end_date", ints="sound",
 )
+
+
+# --- robustness by refitting --------------------------------------------------------------------
+
+#: WITH clause: po (labelled rows in time order with the number of rows)
+PLACED_SQL = ALL_SQL[0] + f""", ft as materialized (select ticker, dt, target_direction as y from ({ALL_SQL[1]}) a), po as materialized (
+    select *, row_number() over (order by dt, ticker) - 1 as g, count(*) over () as total from ft where y is not null
+)"""
+_FIFTH = "count(case when g < floor(total * cast(0.8 as double)) then 1 end) as n, cast(sum(case when g < floor(total * cast(0.8 as double)) then y end) as bigint) as n_pos, count(case when g >= floor(total * cast(0.8 as double)) then 1 end) as n_test"
+
+
+def _sound(df: DataFrame) -> DataFrame:
+    shares = [F.col(c).between(0, 1) for c in ("accuracy", "prec", "recall", "f1", "auc")]
+    return df.withColumn("sound", (shares[0] & shares[1] & shares[2] & shares[3] & shares[4]).cast("int"))
+
+
+add(
+    "time_stability_refit", "P1", lambda s, d: _sound(refits.time_stability(*features(s, d))),
+    (PLACED_SQL, """
+select label, count(case when train then 1 end) as n, cast(sum(case when train then y end) as bigint) as n_pos, count(case when not train then 1 end) as n_test, 1 as sound
+from (select *, g - p * (total // 3) < floor(case when p = 2 then total - 2 * (total // 3) else total // 3 end * cast(0.7 as double)) as train,
+    case p when 0 then 'Early' when 1 then 'Mid' else 'Late' end as label from (select *, least(g // (total // 3), 2) as p from po) a) b group by label"""),
+    keys="label", ints="n n_pos n_test sound",
+)
+add(
+    "feature_subset_refit", "P2", lambda s, d: _sound(refits.feature_subset_stability(*features(s, d))),
+    (PLACED_SQL, f"select label, {_FIFTH}, 1 as sound from po, (values ('Full Features'), ('Top 50% Features'), ('Random 50% Features')) m(label) group by label"),
+    keys="label", ints="n n_pos n_test sound",
+)
+add(
+    # a permutation keeps the number of positive labels
+    "label_shuffle_refit", "P3", lambda s, d: refits.label_shuffle_test(*features(s, d)),
+    (PLACED_SQL, f"select n as n_real, n as n_shuffled, n_pos as n_pos_real, n_pos as n_pos_shuffled, n_test as n_test_real, n_test as n_test_shuffled from (select {_FIFTH} from po) x"),
+    keys="", ints="n_real n_shuffled n_pos_real n_pos_shuffled n_test_real n_test_shuffled",
+)
