@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 import corpus_pipeline
 from tidepanel.llm import bpe, chat, exact_dedup, licenses, lm, minhash, mixing, quality, queries, suffix_dedup, topk
@@ -45,6 +46,44 @@ def test_exact_dedup(docs, rows):
     assert set(map(tuple, exact_dedup.exact_dedup(docs).collect())) == want
 
 
+@pytest.mark.parametrize("batches", [1, 2, 7])
+def test_exact_dedup_in_batches(spark, docs, rows, batches):
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault((t or "").translate(LOW), []).append(i)
+    want = {(i, max(g), len(g), i == max(g)) for g in groups.values() for i in g}
+    assert {tuple(r)[:4] for r in exact_dedup.exact_dedup(docs, 4, batches).collect()} == want
+    parts = exact_dedup.falling(docs.select(docs.doc_id.alias("id")), batches)
+    ids = [sorted(r[0] for r in p.collect()) for p in parts]
+    assert sum(map(len, ids)) == len(rows) and all(a[0] > b[-1] for a, b in zip(ids, ids[1:]) if a and b)
+
+
+def test_exact_dedup_of_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "b"), (1, "A"), (1, "c"), (9, "c"), (9, "c"), (5, None), (4, ""), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for batches in (1, 3):
+        got = sorted(exact_dedup.exact_dedup(df, 2, batches).drop("text_sha256").collect(), key=str)
+        want = [(None, 1, 2, False), (1, 1, 2, True), (None, None, 2, False), (None, None, 2, False), (1, 9, 3, False), (9, 9, 3, True), (9, 9, 3, True), (5, 5, 2, True), (4, 5, 2, False)]
+        assert [tuple(r) for r in got] == [t for _, t in sorted((str(spark_row(t)), t) for t in want)]
+
+
+def spark_row(t):
+    return Row(doc_id=t[0], keep_id=t[1], group_size=t[2], kept=t[3])
+
+
+def test_index_path_opened_again(spark, docs):
+    """A filled index under its path: a later batch is compared with what an earlier run stored."""
+    first = exact_dedup.DigestIndex(spark, buckets=4)
+    first.dedup(docs.filter("doc_id >= 20"), "old").count()
+    again = exact_dedup.DigestIndex(spark, path=first.path, buckets=4)
+    out = again.dedup(docs.filter("doc_id < 20"), "new")
+    fresh, stored = out.filter("kept").count(), again.read()
+    assert fresh == stored.filter("batch = 'new'").count() > 0
+    # the new batch has texts that the old one brought
+    assert fresh < out.select("text_sha256").distinct().count()
+    assert stored.count() == stored.select("text_sha256").distinct().count() == exact_dedup.exact_dedup(docs).filter("kept").count()
+
+
 def test_digest_index_goes_on(spark, docs):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     first = index.dedup(docs.filter("doc_id < 20"), "a").filter("kept").count()
