@@ -325,7 +325,7 @@ def test_replaced_answers_is_its_sql(spark):
 
     db = duckdb.connect()
     db.execute("create view conversations as select * from '/root/testdata/sf0.001/conversations.parquet'")
-    query = queries.QUERIES["op5_replaced_answers"]
+    query = queries.QUERIES["op5_preferences"]
     got = [tuple(r) for r in query.run(spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(db.execute(query.sql).fetchall())
     assert got and all(r[2] > 0 and r[3] for r in got)

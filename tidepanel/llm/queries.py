@@ -256,8 +256,8 @@ QUERIES = {
     "op2_mixing": Query(op2),
     "op3_lm_scores": Query(op3),
     "op4_near_duplicates": Query(op4),
-    "op5_preferences": Query(op5, OP5_SQL),
-    "op5_replaced_answers": Query(op5_answers, OP5_ANSWERS_SQL),
+    "op5_preferences": Query(op5_answers, OP5_ANSWERS_SQL),
+    "op5_turn_pairs": Query(op5, OP5_SQL),
     "op6_quality": Query(op6),
     "op7_licenses": Query(op7),
     "op8_top_k": Query(op8, OP8_SQL),
