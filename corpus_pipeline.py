@@ -47,9 +47,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids of every row, and the digest of the text that the ids decode to."""
-    vocabulary = tokenizer_file(VOCABULARY)
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, vocabulary), vocabulary, keep_ids=True)
-    return decoded.select("doc_id", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.encode_and_decode(docs, tokenizer_file(VOCABULARY))
 
 
 STAGES = [

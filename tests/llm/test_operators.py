@@ -201,6 +201,14 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixed(docs, labels, {"a": 0.5, "b": 0.5}, least=1.0).select("doc_id").distinct().count() == 80
 
 
+def test_encode_and_decode_in_one_pass(spark, docs):
+    content = queries.tokenizer_file(queries.VOCABULARY)
+    both = {r["doc_id"]: (r["ids"], r["decoded_sha256"]) for r in bpe.encode_and_decode(docs, content).collect()}
+    parts = bpe.decode_documents(bpe.encode_documents(docs, content), content, keep_ids=True).collect()
+    assert both == {r["doc_id"]: (r["ids"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in parts}
+    assert bpe.encode_and_decode(docs.limit(0), content).count() == 0
+
+
 def test_pipeline_runs(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "ids", "decoded_sha256"]

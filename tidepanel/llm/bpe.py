@@ -310,6 +310,29 @@ def decode_documents(encoded: DataFrame, content: bytes, keep_ids: bool = False)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string" + (", ids array<int>" if keep_ids else ""))
 
 
+def encode_and_decode(docs: DataFrame, content: bytes) -> DataFrame:
+    """doc_id, ids of every text, and the SHA-256 of the text that the ids decode to; null texts are empty.
+
+    One worker does both, so the vocabulary is held once a task and decoded texts stay where they are made.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(content)
+
+    def run(batches):
+        bpe = loaded(sent.value)
+        for t in texts(batches, limit=2 << 20):
+            e = Encoded(bpe, t)
+            lists, shas = [], []
+            for own in e.documents():
+                ids = np.frombuffer(b"".join([e.ids[c] for c in own]), np.int32)
+                back = bpe.decode(ids.astype(np.int64)).tobytes().decode(errors="replace")
+                lists.append(ids)
+                shas.append(hashlib.sha256(back.encode()).hexdigest())
+            columns = [t.rows.column("doc_id"), pa.array(lists, pa.list_(pa.int32())), pa.array(shas, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded_sha256 string")
+
+
 def encoding_digests(docs: DataFrame, content: bytes) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded text."""
     sent = docs.sparkSession.sparkContext.broadcast(content)
