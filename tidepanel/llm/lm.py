@@ -4,9 +4,8 @@ A text is read as its words (A-Z lower-cased, separated by white space) and one
 ids form one sequence per text, cut into blocks.  A block's positions attend to all earlier
 ones of the block and of the block before, so windows overlap by half and each token is scored once.
 
-Attention predicts a class of subwords.  Its weights and the classes are learnt from windows of all training
-texts, whose number grows with the texts: shards of windows are fitted side by side and their weights averaged
-round by round.  The shares of subwords in their class, and the counts of words, are those of all training texts.  The probability of a word is a mixture of the attention model's,
+Attention predicts a class of subwords.  Its weights are learnt from every block of every training text, the classes
+from all neighbours there: shards of texts are fitted side by side and their weights averaged round by round.  The shares of subwords in their class, and the counts of words, are those of all training texts.  The probability of a word is a mixture of the attention model's,
 read as subwords up to the next beginning of a word, and of the smoothed word frequency.
 """
 
@@ -31,11 +30,17 @@ from tidepanel.llm.text import SPACE_WORD, Texts, held_out, ragged, texts, word_
 #: Positions of a block; a position sees its block so far and the block before.
 BLOCK = 32
 WIDTH, SINGLES, GROUPS, INPUTS = 16, 96, 12, 1024
-#: The fit: one window for every STRETCH words begun of every training text, dealt to shards of about SHARD windows.
+#: The fit: a window for every block of every training text, dealt to shards of about SHARD windows.
 #: In ROUNDS rounds each shard takes steps on BATCH windows from the mean of all shards' weights: STEPS in all, and more
 #: if its windows need more to be used once.
-STRETCH, SHARD, ROUNDS = 512, 1 << 15, 3
+SHARD, ROUNDS = 1 << 15, 3
 STEPS, BATCH, RATE = 500, 64, 0.01
+#: Blocks of a text that travel in one row.
+PIECE = 1024
+#: ``_windows`` draws one window for every STRETCH words begun of a text.
+STRETCH = 512
+#: White space that a cutting rule may know beyond the ASCII one that separates words; words with it are read one by one.
+ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Words whose counts are sent to all tasks: the most frequent ones.  The others are joined.
 HEAD_WORDS = 200_000
 CACHE_WORDS = 200_000
@@ -54,6 +59,8 @@ class Subwords:
         self.initial = np.zeros(self.size + 1, bool)
         self.initial[[i for t, i in table.items() if t[:1] == b" "]] = True
         self.initial[self.size] = True  # the end of a text
+        self.length = np.zeros(self.size, np.int64)
+        self.length[list(table.values())] = [len(t) for t in table]
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.known: dict[bytes, np.ndarray] = {}
 
@@ -61,6 +68,22 @@ class Subwords:
     def end(self) -> int:
         return self.size
 
+    def joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of all words one after another, and how many each has, from one text of all words; None if a subword crosses words."""
+        if not len(words):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+        sizes = np.diff(offsets)
+        text = np.full(int(sizes.sum()) + len(words), 32, np.uint8)
+        text[ragged(np.cumsum(sizes + 1) - sizes, sizes)] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        ids = np.array(self.encoding.encode_ordinary(text.tobytes().decode()), np.int32)
+        ends = np.cumsum(self.length[ids])
+        last = np.searchsorted(ends, np.cumsum(sizes + 1))
+        if last[-1] >= len(ids) or not np.array_equal(ends[last], np.cumsum(sizes + 1)):
+            return None
+        return ids, np.diff(last, prepend=-1)
+
     def ids(self, words: list[bytes]) -> list[np.ndarray]:
         out = []
         for w in words:
@@ -85,6 +108,28 @@ def loaded(ranks: bytes, pattern: str) -> Subwords:
     return _LOADED[key]
 
 
+def subwords_of(sub: Subwords, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subword ids, and where in them each of some words begins and how many it has."""
+    alone = np.ones(len(words), bool)
+    got = None
+    if hasattr(sub, "joined"):
+        try:
+            alone = pc.match_substring_regex(words.cast(pa.large_string()), ODD_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+            got = sub.joined(words.filter(pa.array(~alone)))
+        except (pa.ArrowInvalid, UnicodeDecodeError):
+            pass  # not UTF-8
+    if got is None:
+        alone[:] = True
+        got = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    own = sub.ids(words.filter(pa.array(alone)).to_pylist())
+    sizes = np.zeros(len(words), np.int64)
+    sizes[~alone], sizes[alone] = got[1], [len(x) for x in own]
+    at = np.zeros(len(words), np.int64)
+    at[~alone] = np.cumsum(sizes[~alone]) - sizes[~alone]
+    at[alone] = len(got[0]) + np.cumsum(sizes[alone]) - sizes[alone]
+    return np.concatenate([got[0], *own]), at, sizes
+
+
 class Sequence:
     """Words and subwords of some texts, an end after each text."""
 
@@ -98,10 +143,9 @@ class Sequence:
         self.end_code = len(self.dictionary)
         self.codes = np.insert(codes.astype(np.int64), first[1:], self.end_code)
         self.doc_words = np.diff(first) + 1  # with the end
-        ids = [*sub.ids(self.dictionary.to_pylist()), np.array([sub.end], np.int32)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids)
-        at = np.cumsum(sizes) - sizes
+        flat, at, sizes = subwords_of(sub, self.dictionary)
+        at, sizes = np.append(at, len(flat)), np.append(sizes, 1)
+        flat = np.append(flat, np.int32(sub.end))
         self.sizes = sizes[self.codes]
         self.tokens = flat[ragged(at[self.codes], self.sizes)]
         self.word_at = np.cumsum(self.sizes) - self.sizes
@@ -111,6 +155,19 @@ class Sequence:
         self.doc_of_word = np.repeat(np.arange(len(t)), self.doc_words)
 
 
+class Room:
+    """Arrays used again for each group of blocks; fresh ones would cost more than the sums."""
+
+    def __init__(self):
+        self.arrays: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int, kind=np.float32) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.arrays or len(self.arrays[name]) < size:
+            self.arrays[name] = np.empty(size, kind)
+        return self.arrays[name][:size].reshape(shape)
+
+
 @dataclass
 class Model:
     params: dict[str, np.ndarray]
@@ -130,13 +187,13 @@ class Model:
         self.bias = p["rel"][DISTANCE] + CAUSAL
         self.last = np.vstack([p["W2"], p["b2"]])
 
-    def hidden(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def hidden(self, x: np.ndarray, first: np.ndarray, room: Room | None = None) -> np.ndarray:
         """Last layer's inputs, a one after each, of the blocks x[1:]; each sees the block before it unless it is a text's first."""
-        n = len(first)
-        own = self.asks[x[1:]]
+        n, room = len(first), room or Room()
+        own = np.take(self.asks, x[1:], axis=0, out=room("own", n, BLOCK, 2 * WIDTH), mode="clip")
         both = lambda t: as_strided(t, (n, 2 * BLOCK, t.shape[2]), t.strides)
         keys, values = self.keys[x], self.values[x]
-        s = np.ascontiguousarray(own[:, :, :WIDTH]) @ both(keys).transpose(0, 2, 1)
+        s = np.matmul(np.ascontiguousarray(own[:, :, :WIDTH]), both(keys).transpose(0, 2, 1), out=room("s", n, BLOCK, 2 * BLOCK))
         s += self.bias
         s[first, :, :BLOCK] = -1e9  # the block before belongs to another text
         if s.max() > 60 or np.diagonal(s, BLOCK, 1, 2).min() < -60:  # else neither overflow nor a vanishing sum
@@ -165,9 +222,10 @@ class Model:
         first = np.zeros(total, bool)
         first[block_at] = True
         own, mass = np.empty(total * BLOCK, np.float32), np.empty((total * BLOCK, 2), np.float32)
+        room = Room()
         for a in range(0, total, group):
             b = min(a + group, total)
-            z = self.hidden(x[a : b + 1], first[a:b]) @ self.last
+            z = np.matmul(self.hidden(x[a : b + 1], first[a:b], room), self.last, out=room("z", (b - a) * BLOCK, self.last.shape[1]))
             if max(z.max(), -z.min()) > 80:
                 z -= z.max(axis=1, keepdims=True)
             own[a * BLOCK : b * BLOCK] = z[np.arange(len(z)), y[a * BLOCK : b * BLOCK]]
@@ -211,33 +269,60 @@ def attend(p: dict, x: np.ndarray, prev: np.ndarray, first: np.ndarray):
     return h, e, own, q, k, v, s, c, both
 
 
-def gradients(p: dict, x, prev, first, y) -> tuple[float, dict]:
-    h, e, own, q, k, v, a, c, both = attend(p, x, prev, first)
-    z = h @ p["W2"] + p["b2"]
-    z -= z.max(axis=2, keepdims=True)
-    prob = np.exp(z)
-    prob /= prob.sum(axis=2, keepdims=True)
-    seen = y >= 0
-    m = max(1, int(seen.sum()))
-    i, j = np.nonzero(seen)
-    loss = -np.log(prob[i, j, y[i, j]] + 1e-12).sum() / m
-    prob[i, j, y[i, j]] -= 1
-    prob *= (seen / m)[:, :, None].astype(np.float32)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"W2": flat(h).T @ flat(prob), "b2": flat(prob).sum(0)}
-    dh = (prob @ p["W2"].T) * (h > 0)
-    g |= {"Wr": flat(own).T @ flat(dh), "Wo": flat(c).T @ flat(dh), "b": flat(dh).sum(0)}
+def summed(at: np.ndarray, parts: list[np.ndarray], n: int, room: Room, name: str) -> np.ndarray:
+    """Sums of rows (``parts`` side by side) by their key ``at``, for keys below n."""
+    width = sum(x.shape[-1] for x in parts)
+    rows = np.concatenate(parts, axis=-1, out=room(name + " rows", *at.shape, width, kind=float))
+    cell = np.add((at * width)[..., None], np.arange(width), out=room(name + " cells", *at.shape, width, kind=np.int64))
+    return np.bincount(cell.ravel(), weights=rows.ravel(), minlength=n * width).reshape(n, width).astype(np.float32)
+
+
+def gradients(p: dict, x, prev, first, y, room: Room | None = None) -> tuple[float, dict]:
+    """Mean loss and gradients; sums by input and projections of these stand for projections of every position."""
+    room, n, n_in, scale = room or Room(), len(x), len(p["E"]), np.float32(1 / np.sqrt(WIDTH))
+    both = np.concatenate([prev, x], axis=1)
+    wide = 2 * BLOCK
+    look = lambda table, at, name: np.take(table, at, axis=0, out=room(name, *at.shape, table.shape[1]), mode="clip")
+    q, r = look(p["E"] @ (p["Wq"] * scale), x, "q"), look(p["E"] @ p["Wr"] + p["b"], x, "r")
+    k, v = look(p["E"] @ p["Wk"], both, "k"), look(np.hstack([p["E"] @ p["Wv"], np.ones((n_in, 1), np.float32)]), both, "v")
+    s = np.matmul(q, k.transpose(0, 2, 1), out=room("s", n, BLOCK, wide))
+    s += p["rel"][DISTANCE] + CAUSAL
+    s[first, :, :BLOCK] = -1e9  # the block before belongs to another text
+    if s.max() > 60 or np.diagonal(s, BLOCK, 1, 2).min() < -60:  # else neither overflow nor a vanishing sum
+        s -= s.max(axis=2, keepdims=True)
+    np.exp(s, out=s)
+    c = s @ v
+    total, c = c[:, :, WIDTH:].copy(), c[:, :, :WIDTH] / c[:, :, WIDTH:]
+    h = np.ones((n, BLOCK, WIDTH + 1), np.float32)
+    np.maximum(c @ p["Wo"] + r, 0, out=h[:, :, :WIDTH])
+    h = h.reshape(-1, WIDTH + 1)
+    z = np.matmul(h, np.vstack([p["W2"], p["b2"]]), out=room("z", len(h), len(p["b2"])))
+    if max(z.max(), -z.min()) > 80:
+        z -= z.max(axis=1, keepdims=True)
+    seen = np.flatnonzero(y.ravel() >= 0)
+    to, m = y.ravel()[seen], max(1, len(seen))
+    own = z[seen, to]
+    np.exp(z, out=z)
+    mass = z.sum(axis=1)
+    loss = (np.log(mass[seen]) - own).sum() / m
+    z *= ((y.ravel() >= 0) / (m * mass)).astype(np.float32)[:, None]
+    z[seen, to] -= np.float32(1 / m)
+    last = h.T @ z
+    dh = (z @ p["W2"].T) * (h[:, :WIDTH] > 0)
+    g = {"W2": last[:WIDTH], "b2": last[WIDTH], "Wo": c.reshape(-1, WIDTH).T @ dh, "b": dh.sum(0)}
+    dh = dh.reshape(n, BLOCK, WIDTH)
     dc = dh @ p["Wo"].T
-    da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    g["rel"] = np.bincount(DISTANCE.ravel(), weights=ds.sum(0).ravel(), minlength=2 * BLOCK).astype(np.float32)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["Wq"] = flat(own).T @ flat(dq) / np.float32(np.sqrt(WIDTH))
-    g |= {"Wk": flat(e).T @ flat(dk), "Wv": flat(e).T @ flat(dv)}
-    de = dk @ p["Wk"].T + dv @ p["Wv"].T
-    de[:, BLOCK:] += dh @ p["Wr"].T + dq @ (p["Wq"].T / np.float32(np.sqrt(WIDTH)))
-    g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], both.ravel(), flat(de))
+    dc = np.concatenate([dc, -(dc * c).sum(axis=2, keepdims=True)], axis=2) / total
+    dv = np.matmul(s.transpose(0, 2, 1), np.ascontiguousarray(dc[:, :, :WIDTH]), out=room("dv", n, wide, WIDTH))
+    ds = np.matmul(dc, v.transpose(0, 2, 1), out=room("ds", n, BLOCK, wide))
+    ds *= s
+    g["rel"] = np.bincount(DISTANCE.ravel(), weights=ds.sum(0).ravel(), minlength=wide).astype(np.float32)
+    dq, dk = ds @ k, np.matmul(ds.transpose(0, 2, 1), q, out=room("dk", n, wide, WIDTH))
+    by_key, by_own = summed(both, [dk, dv], n_in, room, "key"), summed(x, [dq, dh], n_in, room, "own")
+    turned = p["E"].T @ np.hstack([by_own, by_key])
+    g |= {w: turned[:, i * WIDTH : (i + 1) * WIDTH] for i, w in enumerate(("Wq", "Wr", "Wk", "Wv"))}
+    g["Wq"] = g["Wq"] * scale
+    g["E"] = by_own @ np.hstack([p["Wq"] * scale, p["Wr"]]).T + by_key @ np.hstack([p["Wk"], p["Wv"]]).T
     return float(loss), g
 
 
@@ -251,18 +336,20 @@ def start(n_inputs: int, classes: np.ndarray, seed: int = 3) -> dict:
     return p | {"b2": np.log(share / share.sum()).astype(np.float32)}
 
 
-def steps_of_round(p: dict, prev: np.ndarray, x: np.ndarray, y: np.ndarray, n_inputs: int, turn: int, seed: int) -> dict:
-    """One round of Adam: inputs of two blocks, classes that follow in the second (-1: none).  Over all rounds every window is used."""
+def steps_of_round(p: dict, prev: np.ndarray, x: np.ndarray, y: np.ndarray, n_inputs: int, turn: int, seed: int, spread: int = ROUNDS) -> dict:
+    """One round of Adam: inputs of two blocks, classes that follow in the second (-1: none).  Over ``spread`` rounds
+    every window is used."""
     p = {n: w.copy() for n, w in p.items()}
     order = np.random.default_rng(seed).permutation(len(x))
     size = min(BATCH, len(x))
-    steps = max(-(-STEPS // ROUNDS), -(-len(x) // (ROUNDS * size)))
+    steps = max(-(-STEPS // ROUNDS), -(-len(x) // (spread * size)))
     first = (prev == n_inputs).all(axis=1)
     m, v = ({n: np.zeros_like(w) for n, w in p.items()} for _ in range(2))
+    room = Room()
     for step in range(1, steps + 1):
         done = turn * steps + step - 1
         at = order[(done * size + np.arange(size)) % len(x)]
-        _, g = gradients(p, x[at], prev[at], first[at], y[at])
+        _, g = gradients(p, x[at], prev[at], first[at], y[at], room)
         rate = RATE * min(1.0, 2 * (1 - done / (steps * ROUNDS)))
         for n in p:
             m[n] += 0.1 * (g[n] - m[n])
@@ -289,40 +376,65 @@ def cluster(points: np.ndarray, weight: np.ndarray, k: int, seed: int = 5) -> np
     return out
 
 
-def sorted_windows(table: pa.Table) -> np.ndarray:
-    """The windows of a shard in an order that does not depend on how they arrived."""
-    w = table.column("ids").combine_chunks().flatten().to_numpy().reshape(-1, 2 * BLOCK + 1)
-    return w[np.lexsort(w.T[::-1])]
-
-
-def together(windows: np.ndarray, top: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """How the windows of each subword that is not in ``top`` use the subwords of ``top``: keys id * (len(top) + 1) + column
-    and whole sums over windows of 1,024 times the root of the column's share; the last column counts the windows."""
-    real = np.where(windows >= 0, windows, end)
-    k = len(top)
-    col = np.full(end + 1, -1)
-    col[top] = np.arange(k)
-    hist = np.zeros((len(windows), k))
-    r, c = np.nonzero(col[real] >= 0)
-    np.add.at(hist, (r, col[real[r, c]]), 1)
-    hist = np.rint(1024 * np.sqrt(hist / np.maximum(hist.sum(1, keepdims=True), 1))).astype(np.int64)
-    r, c = np.nonzero(col[real] < 0)
-    ids, at = np.unique(real[r, c], return_inverse=True)
-    out = np.zeros((len(ids), k + 1), np.int64)
-    by_id = np.argsort(at, kind="stable")
-    cuts = np.searchsorted(at[by_id], np.arange(len(ids) + 1))
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        rows = r[by_id[a:b]]
-        out[i, :k], out[i, k] = hist[rows].sum(0), b - a
-    i, c = np.nonzero(out)
-    return ids[i] * (k + 1) + c, out[i, c]
-
-
-def learn(windows: DataFrame, counts: np.ndarray, initial: np.ndarray) -> Model:
-    """windows: (shard, ids), rows of 2 * BLOCK + 1 subword ids, -1 before a text's beginning and after its end.
-    counts: of every id in all training texts.  The driver gets sums by subword and by weight, whatever the number of windows."""
-    spark = windows.sparkSession
-    n, end = len(counts), len(counts) - 1
+def kind_of(end: int) -> type:
+    """How subword ids travel; end + 1 stands for no subword."""
+    return np.uint16 if end + 1 < 1 << 16 else np.int32
+
+
+def blocks_of(table, end: int) -> np.ndarray:
+    """A window for every block of the pieces, -1 where there is no subword; in an order that does not depend on how the pieces arrived."""
+    kind = kind_of(end)
+    rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["place"], r["ids"]) for r in table.select(["doc_id", "place", "ids"]).to_pylist())
+    out = []
+    for *_, ids in rows:
+        ids = np.frombuffer(ids, kind)
+        out.append(as_strided(ids, ((len(ids) - BLOCK - 1) // BLOCK, 2 * BLOCK + 1), (BLOCK * ids.itemsize, ids.itemsize)))
+    out = np.concatenate(out).astype(np.int64)
+    out[out > end] = -1
+    return out
+
+
+def _usage(end: int, top: np.ndarray | None = None):
+    """How often each subword occurs; with ``top``: how often each one that is not in it stands right before and right
+    after one of it, as keys id * 2 * len(top) + column."""
+    width = 1 if top is None else 2 * len(top)
+
+    def run(batches):
+        total = np.zeros((end + 2) * width, np.int64 if top is None else np.int32)
+        if top is not None:
+            col = np.full(end + 2, -1)
+            col[top] = np.arange(len(top))
+        for batch in batches:
+            for ids in batch.column("ids").to_pylist():
+                ids = np.frombuffer(ids, kind_of(end)).astype(np.int64)[BLOCK:]  # from the subword before the first block on
+                if top is None:
+                    total += np.bincount(ids[1:], minlength=len(total))
+                    continue
+                c = col[ids]
+                before, after = np.flatnonzero((c[1:] >= 0) & (c[:-1] < 0)), np.flatnonzero((c[:-1] >= 0) & (c[1:] < 0))
+                np.add.at(total, ids[before] * width + c[before + 1], 1)
+                np.add.at(total, ids[after + 1] * width + len(top) + c[after], 1)
+        at = np.flatnonzero(total[: (end + 1) * width])
+        for a in range(0, len(at), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + (1 << 18)]), pa.array(total[at[a : a + (1 << 18)]].astype(np.int64))], ["key", "value"])
+
+    return run
+
+
+def usage(pieces: DataFrame, end: int, top: np.ndarray | None = None) -> np.ndarray:
+    """Sums over all pieces, whose number of cells is bounded by the vocabulary."""
+    sums = pieces.select("ids").mapInArrow(_usage(end, top), "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).toArrow()
+    width = 1 if top is None else 2 * len(top)
+    out = np.zeros((end + 1) * width)
+    out[sums.column("key").to_numpy()] = sums.column("value").to_numpy()
+    return out.reshape(end + 1, width)
+
+
+def learn(pieces: DataFrame, n_windows: int, initial: np.ndarray) -> Model:
+    """pieces: (doc_id, place, blocks, ids) of all training texts.  The driver gets sums by subword and by weight, whatever their number."""
+    spark = pieces.sparkSession
+    n, end = len(initial), len(initial) - 1
+    counts = usage(pieces, end)[:, 0]
     order = np.lexsort((np.arange(n), -counts))
     order = order[order != end]
     class_of = np.empty(n, np.int64)
@@ -330,18 +442,11 @@ def learn(windows: DataFrame, counts: np.ndarray, initial: np.ndarray) -> Model:
     top = order[:SINGLES]
     class_of[top] = 1 + np.arange(len(top))
     rest, base = order[SINGLES:], 1 + len(top)
-
-    def uses(table: pa.Table) -> pa.Table:
-        key, value = together(sorted_windows(table), top, end)
-        return pa.table({"key": key, "value": value})
-
-    sums = windows.groupBy("shard").applyInArrow(uses, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).toArrow()
-    vec = np.zeros((n, len(top) + 1))
-    vec.ravel()[sums.column("key").to_numpy()] = sums.column("value").to_numpy()
-    points = vec[:, :-1] / np.maximum(vec[:, -1:], 1) / 1024
+    vec = usage(pieces, end, top)
+    points = np.sqrt(vec / np.maximum(counts, 1)[:, None])
     for flag in (True, False):
         own = rest[initial[rest] == flag]
-        class_of[own] = base + cluster(points[own], vec[own, -1], GROUPS)
+        class_of[own] = base + cluster(points[own], counts[own], GROUPS)
         base += GROUPS
     smooth = counts + 0.01
     mass = np.bincount(class_of, weights=smooth, minlength=base)
@@ -354,12 +459,18 @@ def learn(windows: DataFrame, counts: np.ndarray, initial: np.ndarray) -> Model:
     first_of = np.zeros(base, np.float32)
     first_of[class_of[initial]] = 1
     params = start(n_inputs, np.bincount(class_of, weights=counts, minlength=base))
+    # copies of a text are dealt to different shards; each round takes another part of the texts, unless there is one shard
+    shards = max(1, -(-n_windows // SHARD))
+    spread = ROUNDS if shards == 1 else 1
+    deal = lambda seed, k: F.pmod(F.xxhash64(F.lit(seed), "doc_id", "place", "ids"), F.lit(k))
+    dealt = pieces.withColumn("shard", deal(1, shards))
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((params, input_of, class_of))
-        got = windows.groupBy("shard").applyInArrow(_round(sent, n_inputs, turn), "at int, weighted long, windows long")
+        windows = dealt if spread > 1 else dealt.filter(deal(2, ROUNDS) == turn)
+        got = windows.groupBy("shard").applyInArrow(_round(sent, n_inputs, turn, spread), "at int, weighted long, windows long")
         got = got.groupBy("at").agg(F.sum("weighted").alias("w"), F.sum("windows").alias("n")).toArrow()
         if not got.num_rows:
-            break
+            continue
         flat = np.empty(got.num_rows)
         flat[got.column("at").to_numpy()] = got.column("w").to_numpy() / got.column("n").to_numpy() / FIXED
         cuts = np.cumsum([w.size for w in params.values()])[:-1]
@@ -371,13 +482,13 @@ def learn(windows: DataFrame, counts: np.ndarray, initial: np.ndarray) -> Model:
 FIXED = 1 << 20
 
 
-def _round(sent, n_inputs: int, turn: int):
+def _round(sent, n_inputs: int, turn: int, spread: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         params, input_of, class_of = sent.value
-        w = sorted_windows(table)
+        w = blocks_of(table, len(input_of) - 1)
         ins = np.where(w[:, :-1] >= 0, input_of[w[:, :-1]], n_inputs)
         outs = np.where((w[:, BLOCK + 1 :] >= 0) & (w[:, BLOCK:-1] >= 0), class_of[w[:, BLOCK + 1 :]], -1)
-        params = steps_of_round(params, ins[:, :BLOCK], ins[:, BLOCK:], outs, n_inputs, turn, seed=key[0].as_py())
+        params = steps_of_round(params, ins[:, :BLOCK], ins[:, BLOCK:], outs, n_inputs, turn, key[0].as_py(), spread)
         flat = np.concatenate([x.ravel() for x in params.values()]).astype(float)
         return pa.table({"at": np.arange(len(flat), dtype=np.int32), "weighted": np.rint(flat * len(w) * FIXED).astype(np.int64), "windows": np.full(len(flat), len(w), np.int64)})
 
@@ -411,7 +522,8 @@ def frequent_from(words: DataFrame) -> int:
 
 
 def _windows(sent):
-    """A window for every STRETCH words begun of a text (the end counts): the subwords from a word of that stretch on, and those before it."""
+    """Draws a window for every STRETCH words begun of a text (the end counts): the subwords from a word of that stretch on, and those before it.
+    A look at texts only: the fit takes all of ``subword_pieces``."""
 
     def run(batches):
         sub = loaded(*sent.value)
@@ -440,30 +552,37 @@ def _windows(sent):
     return run
 
 
-def dealt_windows(train: DataFrame, sent) -> tuple[DataFrame, int]:
-    """(shard, ids) for all windows of the texts, and their number.  Copies of a text are dealt to different shards."""
-    found = train.select("doc_id", "text").mapInArrow(_windows(sent), "doc_id long, place long, ids array<int>")
-    found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "windows")
-    n = found.count()
-    key = F.xxhash64(F.coalesce("doc_id", "row"), "place", "ids")
-    return found.select(F.pmod(key, F.lit(max(1, -(-n // SHARD)))).alias("shard"), "ids"), n
+def _subwords(sent):
+    """Rows of a text's subwords: those of up to PIECE blocks, of the block before them and the one before that."""
 
-
-def _subword_counts(sent):
     def run(batches):
         sub = loaded(*sent.value)
-        total = np.zeros(sub.size, np.int64)
-        for batch in batches:
-            ids = sub.ids(batch.column("word").to_pylist())
-            n = np.repeat(batch.column("n").to_numpy(), [len(x) for x in ids])
-            if len(n):
-                total += np.bincount(np.concatenate(ids), weights=n, minlength=sub.size).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+        kind = kind_of(sub.end)
+        for t in texts(batches, limit=4 << 20):
+            seq = Sequence(sub, t)
+            blocks = -(-seq.doc_tokens // BLOCK)
+            size = blocks * BLOCK + BLOCK + 1
+            begin = np.cumsum(size) - size
+            flat = np.full(int(size.sum()), sub.end + 1, kind)
+            flat[begin + BLOCK] = sub.end  # an end before each text
+            flat[ragged(begin + BLOCK + 1, seq.doc_tokens)] = seq.tokens
+            parts = -(-blocks // PIECE)
+            doc, place = np.repeat(np.arange(len(t)), parts), ragged(np.zeros(len(t), np.int64), parts)
+            own = np.minimum(blocks[doc] - place * PIECE, PIECE)
+            size = own * BLOCK + BLOCK + 1
+            flat = flat[ragged(begin[doc] + place * PIECE * BLOCK, size)]
+            at = np.concatenate([[0], np.cumsum(size)]) * flat.itemsize
+            ids = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([t.rows.column("doc_id").take(pa.array(doc)), pa.array(place), pa.array(own), ids], ["doc_id", "place", "blocks", "ids"])
 
     return run
 
 
+def subword_pieces(train: DataFrame, sent) -> DataFrame:
+    """(doc_id, place, blocks, ids): the subwords of whole texts."""
+    return train.select("doc_id", "text").mapInArrow(_subwords(sent), "doc_id long, place long, blocks long, ids binary")
+
+
 PARTS = "row long, doc_id long, held_out boolean, word binary, lp double, n_tokens long, n_known long, base double, score double"
 
 
@@ -487,12 +606,9 @@ def lm_scores(docs: DataFrame, ranks: bytes, pattern: str, frequency: float = FR
     head = words.filter(F.col("n") >= least).toArrow()
 
     sub = loaded(ranks, pattern)
-    counts = np.zeros(sub.size + 1)
-    counts[sub.end] = ends
-    for r in words.mapInArrow(_subword_counts(sent), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r["id"]] = r["n"]  # bounded by the vocabulary
-    windows, n_windows = dealt_windows(train, sent)
-    model = learn(windows, counts, sub.initial) if n_all else None
+    pieces = materialise(subword_pieces(train, sent), "subwords")
+    n_windows = pieces.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    model = learn(pieces, n_windows, sub.initial) if n_all else None
 
     z = float(n_all + v_all + 1)
     known = spark.sparkContext.broadcast((head.column("word").cast(pa.large_binary()).combine_chunks(), head.column("n").to_numpy(), model))
