@@ -487,3 +487,22 @@ def test_last_stage_decodes(spark, odd_docs):
     rows = got.collect()
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in rows) == texts
     assert all((len(r["ids"]) > 0) == (r["decoded_sha256"] != hashlib.sha256(b"").hexdigest()) for r in rows)
+
+
+@pytest.mark.parametrize("part", [1, 700, 1 << 20])
+def test_repeats_are_found_anchor_by_anchor(monkeypatch, part):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
+    r = random.Random(part)
+    seeds = [[bytes(r.choice(b"ab") for _ in range(160)) for _ in range(2)] for _ in range(8)]  # equal strings lie in one anchor
+    pieces = [(a, u, r.randrange(5), r.choice(seeds[a])[r.randrange(40) :]) for a in range(8) for u in range(r.randint(1, 5))]
+    anchor, uid, start, texts = zip(*pieces)
+    seen, want = {}, set()
+    for a, u, s, t in sorted(pieces, key=lambda p: p[:3]):
+        for i in range(len(t) - 99):
+            seen.setdefault((a, t[i : i + 100]), []).append((u, s + i))
+    for places in seen.values():
+        want |= {p for p in places if p != min(places)}
+    args = (np.array(x) for x in (anchor, uid, start))
+    u, s = suffix_dedup.repeated_by_anchor(*args, np.frombuffer(b"".join(texts), np.uint8), np.array(list(map(len, texts))))
+    assert set(zip(u.tolist(), s.tolist())) == want and want
+    assert len(suffix_dedup.repeated_by_anchor(*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint8), np.zeros(0, np.int64))[0]) == 0

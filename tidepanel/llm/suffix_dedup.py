@@ -31,6 +31,8 @@ LENGTH, GRAM = 100, 50
 PIECE_STRINGS = 100
 #: Bytes sorted at a time.  An anchor with more different pieces than HOT_PIECES is settled by string digests instead.
 SORT_BYTES, HOT_PIECES = 400_000, 3_000
+#: Of these, the bytes that one suffix order holds: its arrays are passed over once per symbol, so they should stay in a core's cache.
+PART_BYTES = 100_000
 #: Before the sort: any string of an anchor holds one of the CORE-byte ranges that begin a multiple of STEP bytes before it.
 STEP = 10
 CORE = LENGTH - STEP
@@ -258,6 +260,17 @@ def repeated(uid: np.ndarray, start: np.ndarray, data: np.ndarray, lengths: np.n
     return u[later], s[later]
 
 
+def repeated_by_anchor(anchor: np.ndarray, uid: np.ndarray, start: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``repeated`` for pieces sorted by anchor: whole anchors of about PART_BYTES at a time, as equal strings lie in one anchor."""
+    ends = np.cumsum(lengths)
+    last = np.flatnonzero(np.append(anchor[1:] != anchor[:-1], True)) if len(anchor) else np.zeros(0, np.int64)
+    part = (ends[last] - 1) // PART_BYTES
+    cuts = [0, *(last[np.flatnonzero(np.append(part[1:] != part[:-1], True))] + 1)] if len(last) else [0]
+    at = np.concatenate([[0], ends])
+    found = [repeated(uid[a:b], start[a:b], data[at[a] : at[b]], lengths[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def may_share(anchor: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which pieces can share a string with another one of their anchor, or repeat one of their own.
 
@@ -307,7 +320,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, start = table.column("uid").to_numpy(), table.column("start").to_numpy().astype(np.int64)
         some = may_share(table.column("anchor").to_numpy(), flat, lengths)
         flat = flat[ragged((np.cumsum(lengths) - lengths)[some], lengths[some])]
-        u, s, n = in_runs(*repeated(uid[some], start[some], flat, lengths[some]))
+        u, s, n = in_runs(*repeated_by_anchor(table.column("anchor").to_numpy()[some], uid[some], start[some], flat, lengths[some]))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["uid", "start", "strings"])
 
     for batch in batches:
