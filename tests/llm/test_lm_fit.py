@@ -106,3 +106,58 @@ def test_words_read_together_are_words_read_alone():
     bad = pa.array([b"ok", b"\xff\xfe", b"fine"], pa.large_binary())
     flat, at, sizes = lm.subwords_of(sub, bad)
     assert [flat[a : a + n].tolist() for a, n in zip(at, sizes)] == [x.tolist() for x in sub.ids(bad.to_pylist())]
+
+
+@pytest.mark.parametrize("limit", [1, 100, 1 << 20])
+def test_pieces_are_counted_together(monkeypatch, limit):
+    rng = np.random.default_rng(4)
+    rows = [np.concatenate([np.full(lm.BLOCK, 513), [512], rng.integers(0, 513, n)]).astype(np.uint16) for n in (32, 1, 64, 500)] * 40
+    column = pa.array([b""] + [r.tobytes() for r in rows], pa.binary()).slice(1)
+    got = list(lm.joined_ids(column, np.uint16, limit))
+    assert np.array_equal(np.concatenate([ids for ids, _ in got]), np.concatenate(rows))
+    assert sum(len(at) for _, at in got) == len(rows) and all(at[0] == 0 for _, at in got)
+    calls, count = [], np.bincount
+    monkeypatch.setattr(lm.np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    (out,) = lm._usage(512)(iter([pa.RecordBatch.from_arrays([column], ["ids"])]))
+    assert len(calls) == 1  # not one for every piece
+    want = count(np.concatenate([r[lm.BLOCK + 1 :] for r in rows]), minlength=513)
+    assert dict(zip(out.column("key").to_pylist(), out.column("value").to_pylist())) == {i: n for i, n in enumerate(want.tolist()) if n}
+
+
+def test_steps_are_those_of_adam(monkeypatch):
+    rng = np.random.default_rng(6)
+    p = {"a": rng.normal(size=(3, 2)).astype(np.float32), "b": rng.normal(size=4).astype(np.float32)}
+    pull = lambda p: {k: 2 * w + (1 if k == "a" else -3) for k, w in p.items()}
+    monkeypatch.setattr(lm, "gradients", lambda p, *_: (0.0, pull(p)))
+    x = np.arange(8)[:, None]
+    got = lm.steps_of_round(p, x, x, x, -1, 1, 7, lm.ROUNDS)
+    want, steps = {k: w.astype(float) for k, w in p.items()}, -(-lm.STEPS // lm.ROUNDS)
+    m, v = ({k: np.zeros_like(w) for k, w in want.items()} for _ in range(2))
+    for step in range(1, steps + 1):
+        rate = lm.RATE * min(1.0, 2 * (1 - (steps + step - 1) / (steps * lm.ROUNDS)))
+        for k, g in pull(want).items():
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g**2
+            want[k] = want[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    assert all(np.allclose(got[k], want[k], atol=1e-4) and got[k].shape == want[k].shape for k in want)
+
+
+def test_large_numbers_give_the_same_gradients():
+    """Where the exponentials would overflow, sums are shifted; all weights agree with those of a wide computation."""
+    rng = np.random.default_rng(9)
+    x, prev, y = rng.integers(0, 12, (2, lm.BLOCK)), rng.integers(0, 12, (2, lm.BLOCK)), rng.integers(-1, 7, (2, lm.BLOCK))
+    first = np.array([False, True])
+    prev[1] = 12
+    p = {k: w * (12 if k in ("E", "rel", "W2") else 1) for k, w in lm.start(12, np.ones(7)).items()}
+    wide = {k: w.astype(float) for k, w in p.items()}
+    h = lm.attend(wide, x, prev, first)[0]
+    z = h @ wide["W2"] + wide["b2"]
+    assert np.abs(z).max() > 90
+    z -= z.max(axis=2, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
+    i, j = np.nonzero(y >= 0)
+    loss, g = lm.gradients(p, x, prev, first, y)
+    assert np.isclose(loss, -z[i, j, y[i, j]].mean(), rtol=1e-4) and all(np.isfinite(w).all() for w in g.values())
+    d = np.exp(z)
+    d[i, j, y[i, j]] -= 1
+    d *= (y >= 0)[:, :, None] / len(i)
+    assert np.allclose(g["W2"], np.einsum("nbi,nbc->ic", h, d), rtol=2e-3, atol=2e-3 * np.abs(g["W2"]).max())

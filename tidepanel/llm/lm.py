@@ -186,25 +186,30 @@ class Model:
         self.values = np.hstack([p["E"] @ p["Wv"] @ p["Wo"], one])
         self.bias = p["rel"][DISTANCE] + CAUSAL
         self.last = np.vstack([p["W2"], p["b2"]])
+        # of two tables' rows no inner product exceeds the product of their largest norms
+        longest = lambda rows: np.sqrt((rows**2).sum(axis=1).max())
+        self.small = bool(longest(self.asks[:, :WIDTH]) * longest(self.keys) + np.abs(p["rel"]).max() < 60)
 
     def hidden(self, x: np.ndarray, first: np.ndarray, room: Room | None = None) -> np.ndarray:
         """Last layer's inputs, a one after each, of the blocks x[1:]; each sees the block before it unless it is a text's first."""
         n, room = len(first), room or Room()
         own = np.take(self.asks, x[1:], axis=0, out=room("own", n, BLOCK, 2 * WIDTH), mode="clip")
         both = lambda t: as_strided(t, (n, 2 * BLOCK, t.shape[2]), t.strides)
-        keys, values = self.keys[x], self.values[x]
-        s = np.matmul(np.ascontiguousarray(own[:, :, :WIDTH]), both(keys).transpose(0, 2, 1), out=room("s", n, BLOCK, 2 * BLOCK))
+        look = lambda table, name: np.take(table, x, axis=0, out=room(name, *x.shape, table.shape[1]), mode="clip")
+        keys, values = look(self.keys, "keys"), look(self.values, "values")
+        s = np.matmul(own[:, :, :WIDTH], both(keys).transpose(0, 2, 1), out=room("s", n, BLOCK, 2 * BLOCK))
         s += self.bias
         s[first, :, :BLOCK] = -1e9  # the block before belongs to another text
-        if s.max() > 60 or np.diagonal(s, BLOCK, 1, 2).min() < -60:  # else neither overflow nor a vanishing sum
+        if not self.small and (s.max() > 60 or np.diagonal(s, BLOCK, 1, 2).min() < -60):  # else neither overflow nor a vanishing sum
             s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        c = s @ both(values)
-        out = np.ones((n, BLOCK, WIDTH + 1), np.float32)
-        np.maximum(c[:, :, :WIDTH] / c[:, :, WIDTH:] + own[:, :, WIDTH:], 0, out=out[:, :, :WIDTH])
+        c = np.matmul(s, both(values), out=room("c", n, BLOCK, WIDTH + 1))
+        c /= c[:, :, WIDTH:].copy()  # the last column becomes a one
+        c[:, :, :WIDTH] += own[:, :, WIDTH:]
+        out = np.maximum(c, 0, out=c)
         return out.reshape(-1, WIDTH + 1)
 
-    def scores(self, seq: Sequence, group: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, seq: Sequence, group: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Natural log of each subword's probability, and of the probability that a word begins there."""
         pad = len(self.params["E"]) - 1
         n_blocks = -(-seq.doc_tokens // BLOCK)
@@ -219,6 +224,7 @@ class Model:
         x = x.reshape(-1, BLOCK)
         y = np.zeros(total * BLOCK, np.int64)
         y[place] = self.class_of[seq.tokens]
+        y += np.arange(total * BLOCK) % (group * BLOCK) * self.last.shape[1]  # where it is among the numbers of its group
         first = np.zeros(total, bool)
         first[block_at] = True
         own, mass = np.empty(total * BLOCK, np.float32), np.empty((total * BLOCK, 2), np.float32)
@@ -228,7 +234,7 @@ class Model:
             z = np.matmul(self.hidden(x[a : b + 1], first[a:b], room), self.last, out=room("z", (b - a) * BLOCK, self.last.shape[1]))
             if max(z.max(), -z.min()) > 80:
                 z -= z.max(axis=1, keepdims=True)
-            own[a * BLOCK : b * BLOCK] = z[np.arange(len(z)), y[a * BLOCK : b * BLOCK]]
+            np.take(z.reshape(-1), y[a * BLOCK : b * BLOCK], out=own[a * BLOCK : b * BLOCK], mode="clip")
             np.exp(z, out=z)
             np.matmul(z, self.masses, out=mass[a * BLOCK : b * BLOCK])
         log_all = np.log(mass[:, 0])
@@ -269,60 +275,68 @@ def attend(p: dict, x: np.ndarray, prev: np.ndarray, first: np.ndarray):
     return h, e, own, q, k, v, s, c, both
 
 
-def summed(at: np.ndarray, parts: list[np.ndarray], n: int, room: Room, name: str) -> np.ndarray:
-    """Sums of rows (``parts`` side by side) by their key ``at``, for keys below n."""
-    width = sum(x.shape[-1] for x in parts)
-    rows = np.concatenate(parts, axis=-1, out=room(name + " rows", *at.shape, width, kind=float))
-    cell = np.add((at * width)[..., None], np.arange(width), out=room(name + " cells", *at.shape, width, kind=np.int64))
-    return np.bincount(cell.ravel(), weights=rows.ravel(), minlength=n * width).reshape(n, width).astype(np.float32)
-
-
 def gradients(p: dict, x, prev, first, y, room: Room | None = None) -> tuple[float, dict]:
-    """Mean loss and gradients; sums by input and projections of these stand for projections of every position."""
-    room, n, n_in, scale = room or Room(), len(x), len(p["E"]), np.float32(1 / np.sqrt(WIDTH))
-    both = np.concatenate([prev, x], axis=1)
-    wide = 2 * BLOCK
+    """Mean loss and gradients."""
+    room, n, wide, scale = room or Room(), len(x), 2 * BLOCK, np.float32(1 / np.sqrt(WIDTH))
+    both_at = np.concatenate([prev, x], axis=1)
     look = lambda table, at, name: np.take(table, at, axis=0, out=room(name, *at.shape, table.shape[1]), mode="clip")
-    q, r = look(p["E"] @ (p["Wq"] * scale), x, "q"), look(p["E"] @ p["Wr"] + p["b"], x, "r")
-    k, v = look(p["E"] @ p["Wk"], both, "k"), look(np.hstack([p["E"] @ p["Wv"], np.ones((n_in, 1), np.float32)]), both, "v")
+    to_own, to_both = np.hstack([p["Wq"] * scale, p["Wr"]]), np.hstack([p["Wk"], p["Wv"]])
+    asks, keys = p["E"] @ to_own, p["E"] @ to_both  # an input's share in queries, keys and values depends on nothing else
+    asks[:, WIDTH:] += p["b"]
+    own, both = look(asks, x, "own"), look(keys, both_at, "both")
+    q, k, v = own[:, :, :WIDTH], both[:, :, :WIDTH], both[:, :, WIDTH:]
     s = np.matmul(q, k.transpose(0, 2, 1), out=room("s", n, BLOCK, wide))
     s += p["rel"][DISTANCE] + CAUSAL
     s[first, :, :BLOCK] = -1e9  # the block before belongs to another text
     if s.max() > 60 or np.diagonal(s, BLOCK, 1, 2).min() < -60:  # else neither overflow nor a vanishing sum
         s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
-    c = s @ v
-    total, c = c[:, :, WIDTH:].copy(), c[:, :, :WIDTH] / c[:, :, WIDTH:]
-    h = np.ones((n, BLOCK, WIDTH + 1), np.float32)
-    np.maximum(c @ p["Wo"] + r, 0, out=h[:, :, :WIDTH])
-    h = h.reshape(-1, WIDTH + 1)
-    z = np.matmul(h, np.vstack([p["W2"], p["b2"]]), out=room("z", len(h), len(p["b2"])))
-    if max(z.max(), -z.min()) > 80:
+    total = (s.reshape(-1, wide) @ np.ones(wide, np.float32))[:, None]
+    c = np.matmul(s, v, out=room("c", n, BLOCK, WIDTH)).reshape(-1, WIDTH)
+    c /= total
+    h = np.ones((n * BLOCK, WIDTH + 1), np.float32)
+    np.maximum(c @ p["Wo"] + own.reshape(-1, 2 * WIDTH)[:, WIDTH:], 0, out=h[:, :WIDTH])
+    last, back = np.vstack([p["W2"], p["b2"]]), np.vstack([p["W2"], np.ones_like(p["b2"])])
+    z = np.matmul(h, last, out=room("z", len(h), last.shape[1]))
+    if max(z.max(), -z.min()) > 60:
         z -= z.max(axis=1, keepdims=True)
     seen = np.flatnonzero(y.ravel() >= 0)
     to, m = y.ravel()[seen], max(1, len(seen))
-    own = z[seen, to]
+    hit = z[seen, to]
     np.exp(z, out=z)
-    mass = z.sum(axis=1)
-    loss = (np.log(mass[seen]) - own).sum() / m
-    z *= ((y.ravel() >= 0) / (m * mass)).astype(np.float32)[:, None]
-    z[seen, to] -= np.float32(1 / m)
-    last = h.T @ z
-    dh = (z @ p["W2"].T) * (h[:, :WIDTH] > 0)
-    g = {"W2": last[:WIDTH], "b2": last[WIDTH], "Wo": c.reshape(-1, WIDTH).T @ dh, "b": dh.sum(0)}
-    dh = dh.reshape(n, BLOCK, WIDTH)
+    dh = z @ back.T  # of the masses, their sums beside it
+    mass = dh[seen, WIDTH]
+    loss = (np.log(mass) - hit).sum() / m
+    part = np.zeros((len(h), 1), np.float32)
+    part[seen, 0] = 1 / (m * mass)
+    dh = dh[:, :WIDTH] * part
+    pull = np.vstack([p["W2"].T / np.float32(m), np.zeros(WIDTH, np.float32)])  # the last row for what is not seen
+    dh -= np.take(pull, y.ravel(), axis=0, mode="wrap")
+    dh *= h[:, :WIDTH] > 0
+    z[seen, to] -= mass
+    g_last = (h * part).T @ z
     dc = dh @ p["Wo"].T
-    dc = np.concatenate([dc, -(dc * c).sum(axis=2, keepdims=True)], axis=2) / total
-    dv = np.matmul(s.transpose(0, 2, 1), np.ascontiguousarray(dc[:, :, :WIDTH]), out=room("dv", n, wide, WIDTH))
-    ds = np.matmul(dc, v.transpose(0, 2, 1), out=room("ds", n, BLOCK, wide))
+    dc /= total
+    ds = np.matmul(dc.reshape(n, BLOCK, WIDTH), v.transpose(0, 2, 1), out=room("ds", n, BLOCK, wide))
+    ds -= np.einsum("ij,ij->i", dc, c).reshape(n, BLOCK, 1)
     ds *= s
-    g["rel"] = np.bincount(DISTANCE.ravel(), weights=ds.sum(0).ravel(), minlength=wide).astype(np.float32)
-    dq, dk = ds @ k, np.matmul(ds.transpose(0, 2, 1), q, out=room("dk", n, wide, WIDTH))
-    by_key, by_own = summed(both, [dk, dv], n_in, room, "key"), summed(x, [dq, dh], n_in, room, "own")
-    turned = p["E"].T @ np.hstack([by_own, by_key])
-    g |= {w: turned[:, i * WIDTH : (i + 1) * WIDTH] for i, w in enumerate(("Wq", "Wr", "Wk", "Wv"))}
-    g["Wq"] = g["Wq"] * scale
-    g["E"] = by_own @ np.hstack([p["Wq"] * scale, p["Wr"]]).T + by_key @ np.hstack([p["Wk"], p["Wv"]]).T
+    near = np.ones(n, np.float32) @ ds.reshape(n, -1)
+    d_own, d_both = room("d own", n, BLOCK, 2 * WIDTH), room("d both", n, wide, 2 * WIDTH)
+    np.matmul(ds, k, out=d_own[:, :, :WIDTH])
+    d_own[:, :, WIDTH:] = dh.reshape(n, BLOCK, WIDTH)
+    np.matmul(ds.transpose(0, 2, 1), q, out=d_both[:, :, :WIDTH])
+    np.matmul(s.transpose(0, 2, 1), dc.reshape(n, BLOCK, WIDTH), out=d_both[:, :, WIDTH:])
+    d_own, d_both = d_own.reshape(-1, 2 * WIDTH), d_both.reshape(-1, 2 * WIDTH)
+    e = look(p["E"], both_at, "e")
+    g_own, g_both = e[:, BLOCK:].reshape(-1, WIDTH).T @ d_own, e.reshape(-1, WIDTH).T @ d_both
+    # a position's share in the gradient of its input, in both of its parts, is summed by input once
+    de = np.matmul(d_both, to_both.T, out=room("de", len(d_both), WIDTH)).reshape(n, wide, WIDTH)
+    de[:, BLOCK:] += (d_own @ to_own.T).reshape(n, BLOCK, WIDTH)
+    cells = np.add((both_at * WIDTH)[:, :, None], np.arange(WIDTH), out=room("cells", n, wide, WIDTH, kind=np.int64))
+    g = {"E": np.zeros_like(p["E"]), "Wq": g_own[:, :WIDTH] * scale, "Wk": g_both[:, :WIDTH], "Wv": g_both[:, WIDTH:], "Wr": g_own[:, WIDTH:]}
+    np.add.at(g["E"].reshape(-1), cells.reshape(-1), de.reshape(-1))
+    g |= {"Wo": c.T @ dh, "b": dh.sum(0), "W2": g_last[:WIDTH], "b2": g_last[WIDTH]}
+    g["rel"] = np.bincount(DISTANCE.ravel(), weights=near, minlength=wide).astype(np.float32)
     return float(loss), g
 
 
@@ -339,22 +353,26 @@ def start(n_inputs: int, classes: np.ndarray, seed: int = 3) -> dict:
 def steps_of_round(p: dict, prev: np.ndarray, x: np.ndarray, y: np.ndarray, n_inputs: int, turn: int, seed: int, spread: int = ROUNDS) -> dict:
     """One round of Adam: inputs of two blocks, classes that follow in the second (-1: none).  Over ``spread`` rounds
     every window is used."""
-    p = {n: w.copy() for n, w in p.items()}
+    flat = np.concatenate([w.ravel() for w in p.values()])
+    cuts = np.cumsum([0, *(w.size for w in p.values())]).tolist()
+    p = {n: flat[a:b].reshape(w.shape) for (n, w), a, b in zip(p.items(), cuts, cuts[1:])}
     order = np.random.default_rng(seed).permutation(len(x))
     size = min(BATCH, len(x))
     steps = max(-(-STEPS // ROUNDS), -(-len(x) // (spread * size)))
     first = (prev == n_inputs).all(axis=1)
-    m, v = ({n: np.zeros_like(w) for n, w in p.items()} for _ in range(2))
+    m, v, g, t = (np.zeros_like(flat) for _ in range(4))
     room = Room()
     for step in range(1, steps + 1):
         done = turn * steps + step - 1
         at = order[(done * size + np.arange(size)) % len(x)]
-        _, g = gradients(p, x[at], prev[at], first[at], y[at], room)
+        _, found = gradients(p, x[at], prev[at], first[at], y[at], room)
         rate = RATE * min(1.0, 2 * (1 - done / (steps * ROUNDS)))
-        for n in p:
-            m[n] += 0.1 * (g[n] - m[n])
-            v[n] += 0.01 * (g[n] ** 2 - v[n])
-            p[n] -= (rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        np.concatenate([found[n].ravel() for n in p], out=g)
+        m += np.multiply(np.subtract(g, m, out=t), np.float32(0.1), out=t)
+        v += np.multiply(np.subtract(np.square(g, out=g), v, out=g), np.float32(0.01), out=g)
+        np.sqrt(np.divide(v, np.float32(1 - 0.99**step), out=t), out=t)
+        t += np.float32(1e-8)
+        flat -= np.multiply(np.divide(m, t, out=t), np.float32(rate / (1 - 0.9**step)), out=t)
     return p
 
 
@@ -394,6 +412,18 @@ def blocks_of(table, end: int) -> np.ndarray:
     return out
 
 
+def joined_ids(rows: pa.Array, kind: type, limit: int = 1 << 20):
+    """Subword ids of some rows one after another, and where each begins; about ``limit`` ids at a time (one row at least)."""
+    _, offsets, data = rows.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    at, size = 0, np.dtype(kind).itemsize
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit * size, side="right")) - 1)
+        ids = np.frombuffer(data, np.uint8)[offsets[at] : offsets[stop]].copy().view(kind).astype(np.int64)
+        yield ids, (offsets[at:stop] - offsets[at]) // size
+        at = stop
+
+
 def _usage(end: int, top: np.ndarray | None = None):
     """How often each subword occurs; with ``top``: how often each one that is not in it stands right before and right
     after one of it, as keys id * 2 * len(top) + column."""
@@ -405,15 +435,16 @@ def _usage(end: int, top: np.ndarray | None = None):
             col = np.full(end + 2, -1)
             col[top] = np.arange(len(top))
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                ids = np.frombuffer(ids, kind_of(end)).astype(np.int64)[BLOCK:]  # from the subword before the first block on
+            for ids, starts in joined_ids(batch.column("ids"), kind_of(end)):
+                own = np.ones(len(ids), bool)  # from the subword before the first block on
+                own[ragged(starts, np.full(len(starts), BLOCK + (top is None)))] = False
                 if top is None:
-                    total += np.bincount(ids[1:], minlength=len(total))
+                    total += np.bincount(ids[own], minlength=len(total))
                     continue
-                c = col[ids]
-                before, after = np.flatnonzero((c[1:] >= 0) & (c[:-1] < 0)), np.flatnonzero((c[:-1] >= 0) & (c[1:] < 0))
-                np.add.at(total, ids[before] * width + c[before + 1], 1)
-                np.add.at(total, ids[after + 1] * width + len(top) + c[after], 1)
+                c, pair = col[ids], own[1:] & own[:-1]
+                before, after = np.flatnonzero(pair & (c[1:] >= 0) & (c[:-1] < 0)), np.flatnonzero(pair & (c[:-1] >= 0) & (c[1:] < 0))
+                keys = np.concatenate([ids[before] * width + c[before + 1], ids[after + 1] * width + len(top) + c[after]])
+                np.add.at(total, keys, np.ones(len(keys), total.dtype))
         at = np.flatnonzero(total[: (end + 1) * width])
         for a in range(0, len(at), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(at[a : a + (1 << 18)]), pa.array(total[at[a : a + (1 << 18)]].astype(np.int64))], ["key", "value"])
